@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import secrets, sharding
+from tessera.llm import secrets, sharding, wordpiece
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": sharding.op1_sharding,
+        "op5_token_counts": wordpiece.op5_token_counts,
         "op9_secrets": secrets.op9_secrets,
     }
 
