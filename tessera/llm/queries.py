@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import pieces, secrets, sharding, tokenfiles, wordpiece
+from tessera.llm import neardup, pieces, secrets, sharding, tokenfiles, wordpiece
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,8 +16,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_pieces": pieces.op4_pieces,
         "op5_token_counts": wordpiece.op5_token_counts,
         "op9_secrets": secrets.op9_secrets,
+        "op10_near_duplicates": neardup.op10_near_duplicates,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op10_near_duplicates": neardup.OP10_SQL,
+    }
