@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import neardup, pieces, secrets, sharding, tokenfiles, wordpiece
+from tessera.llm import neardup, pieces, quality, secrets, sharding, tokenfiles, wordpiece
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": sharding.op1_sharding,
         "op2_token_files": tokenfiles.op2_token_files,
+        "op3_quality": quality.op3_quality,
         "op4_pieces": pieces.op4_pieces,
         "op5_token_counts": wordpiece.op5_token_counts,
         "op9_secrets": secrets.op9_secrets,
@@ -22,5 +23,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_quality": quality.OP3_SQL,
         "op10_near_duplicates": neardup.OP10_SQL,
     }
