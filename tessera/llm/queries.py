@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontam, neardup, pieces, quality, secrets, sharding, tokenfiles, wordpiece
+import corpus_pipeline
+from tessera.llm import decontam, licences, neardup, pieces, quality, secrets, sharding, tokenfiles, wordpiece
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,15 +17,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_quality": quality.op3_quality,
         "op4_pieces": pieces.op4_pieces,
         "op5_token_counts": wordpiece.op5_token_counts,
+        "op6_licences": licences.op6_licences,
         "op7_decontamination": decontam.op7_decontamination,
         "op9_secrets": secrets.op9_secrets,
         "op10_near_duplicates": neardup.op10_near_duplicates,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_quality": quality.OP3_SQL,
+        "op6_licences": licences.OP6_SQL,
         "op7_decontamination": decontam.OP7_SQL,
         "op10_near_duplicates": neardup.OP10_SQL,
     }
