@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from tessera.llm import decontam, licences, neardup, pieces, quality, secrets, sharding, tokenfiles, wordpiece
+from tessera.llm import decontam, language, licences, neardup, pieces, quality, secrets, sharding, tokenfiles, wordpiece
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_token_counts": wordpiece.op5_token_counts,
         "op6_licences": licences.op6_licences,
         "op7_decontamination": decontam.op7_decontamination,
+        "op8_language": language.op8_language,
         "op9_secrets": secrets.op9_secrets,
         "op10_near_duplicates": neardup.op10_near_duplicates,
         "pipeline": corpus_pipeline.run,
