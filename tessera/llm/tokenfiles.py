@@ -23,6 +23,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,7 @@ HEAD = struct.Struct("<4sBBIQq")
 SEQ = struct.Struct("<IQBIII")
 SAMPLE = 256
 SEGMENT_IDS = 1 << 20
-CACHE = 700_000
+CACHE = 1_000_000
 
 
 class EliasFano:
@@ -147,13 +148,26 @@ def _plain(text: str) -> bool:
     return "  " not in text and "\n " not in text and " \n" not in text and "\n\n" not in text and not _RARE.search(text)
 
 
+class _Numbers(dict):
+    """Numbers chunks as they come; `new` has those that have not been encoded yet."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, chunk: str) -> int:
+        n = self[chunk] = len(self)
+        self.new.append(chunk)
+        return n
+
+
 class Encoder:
     """Ids of whole texts by the tokenizers library, as bytes of unsigned 32-bit numbers.
 
     A byte-level vocabulary splits a text before every single blank and around every single line feed, whatever stands
     around: the ids of a plain text are those of its chunks, each a word with the blank before it, or a line feed.
-    Chunks that were met before are not encoded again (the memory of them is emptied when it is full); new ones are
-    encoded many at a time, as lines of one text. Other texts are encoded whole.
+    Chunks are numbered as they are met and encoded once, many at a time, as lines of one text; a text's ids are then
+    gathered by its chunks' numbers. When too many chunks are known, all are forgotten. Other texts are encoded whole.
     """
 
     LINES = 512
@@ -172,34 +186,55 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[str, bytes] = {"": b"", "\n": np.array([self.feed], "<u4").tobytes()}
+        self.known = _Numbers()
+        self.known[""], self.known["\n"] = 0, 1
+        self.size, self.flat = 1, np.full(1 << 16, self.feed, np.uint32)
+        self.at = np.array([0, 0, 1], np.int64)  # chunk n has flat[at[n]:at[n + 1]]
 
     def _raw(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.tok.encode_batch(texts, add_special_tokens=False)]
 
-    def _learn(self, chunks: list[str]) -> None:
-        groups = [chunks[i : i + self.LINES] for i in range(0, len(chunks), self.LINES)]
-        for group, ids in zip(groups, self._raw(["\n".join(g) for g in groups]), strict=True):
-            ends = [*np.flatnonzero(ids == self.feed).tolist(), len(ids)]
-            if len(ends) != len(group):
-                raise ValueError("the line feed is no piece of its own in this vocabulary")
-            data, at = ids.tobytes(), 0
-            for chunk, end in zip(group, ends, strict=True):
-                self.known[chunk] = data[4 * at : 4 * end]
-                at = end + 1
+    def _learn(self) -> None:
+        chunks, self.known.new = self.known.new, []
+        groups = ["\n".join(chunks[i : i + self.LINES]) for i in range(0, len(chunks), self.LINES)]
+        if not groups:
+            return
+        feed = np.array([self.feed], np.uint32)
+        ids = np.concatenate([x for found in self._raw(groups) for x in (found, feed)])
+        ends = np.flatnonzero(ids == self.feed)
+        if len(ends) != len(chunks):
+            raise ValueError("the line feed is no piece of its own in this vocabulary")
+        ids = np.delete(ids, ends)
+        while self.size + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.size : self.size + len(ids)] = ids
+        self.at = np.concatenate([self.at, self.size + ends - np.arange(len(ends))])
+        self.size += len(ids)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [t.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") if self.splits and _plain(t) else None for t in texts]
+        plain = [self.splits and _plain(t) for t in texts]
+        cut = [t.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") for t, ok in zip(texts, plain, strict=True) if ok]
         if len(self.known) > CACHE:
             self._forget()
-        new: set[str] = set()
-        for chunks in cut:
-            new.update(chunks or ())
-        self._learn(list(new - self.known.keys()))
-        whole = [t for t, chunks in zip(texts, cut, strict=True) if chunks is None]
+        sizes = [len(chunks) for chunks in cut]
+        n = np.fromiter(map(self.known.__getitem__, chain.from_iterable(cut)), np.int64, sum(sizes))
+        self._learn()
+        start, count = self.at[n], self.at[n + 1] - self.at[n]
+        ends = np.cumsum(count)
+        total = int(ends[-1]) if len(ends) else 0
+        ids = self.flat[np.repeat(start - ends + count, count) + np.arange(total)].astype("<u4")
+        text_ends = np.append(0, ends)[np.cumsum(sizes, dtype=np.int64)] if sizes else np.zeros(0, np.int64)
+        whole = [t for t, ok in zip(texts, plain, strict=True) if not ok]
         rest = iter(self._raw(whole) if whole else ())
-        get = self.known.__getitem__
-        return [b"".join(map(get, chunks)) if chunks is not None else next(rest).tobytes() for chunks in cut]
+        each = iter(zip(np.append(0, text_ends[:-1]).tolist(), text_ends.tolist(), strict=True)) if sizes else iter(())
+        out = []
+        for ok in plain:
+            if ok:
+                a, b = next(each)
+                out.append(ids[a:b].tobytes())
+            else:
+                out.append(next(rest).tobytes())
+        return out
 
 
 @lru_cache(maxsize=2)
