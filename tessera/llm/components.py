@@ -15,6 +15,12 @@ def keep(spark: SparkSession, df: DataFrame, what: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes what `keep` has written and nothing reads any more."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def _least(edges: DataFrame, own: bool) -> DataFrame:
     m = edges.groupBy("u").agg(F.min("v").alias("m"))
     m = m.withColumn("m", F.least("u", "m")) if own else m
@@ -43,10 +49,14 @@ def connected_components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     a, b = edges.columns
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u is not null and v is not null")
     ends = e.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    e = keep(spark, e.filter("u <> v").distinct(), "edges")
-    seen = None
+    path, seen = shared_folder(spark, "edges"), None
+    e.filter("u <> v").distinct().write.parquet(path)
     while True:
-        e = keep(spark, _small_star(_large_star(e).distinct()).filter("u <> v").distinct(), "edges")
+        before, path = path, shared_folder(spark, "edges")
+        e = spark.read.schema("u long, v long").parquet(before)
+        _small_star(_large_star(e).distinct()).filter("u <> v").distinct().write.parquet(path)
+        discard(spark, before)  # a round is read from its own files, on whatever executor
+        e = spark.read.schema("u long, v long").parquet(path)
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == seen or now[0] == 0:
             break
