@@ -11,7 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import SparkSession
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 ROWS = 1000
 
 _SPACE = np.zeros(256, bool)
