@@ -224,3 +224,22 @@ class CellIndex:
     def repair_router_medoids(self) -> DataFrame:
         """Elects each cell's medoid anew."""
         return medoids(self.frame, self.centres, self.row, self.vector)
+
+
+class LshIndex:
+    """Random projections into buckets, the independent baseline of the cells. Euclidean only."""
+
+    def __init__(self, vectors: DataFrame, tables: int = 8, bucket_length: float = 1.0, seed: int = 100, row: str = "id", vector: str = "vector"):
+        from pyspark.ml.feature import BucketedRandomProjectionLSH
+        from pyspark.ml.functions import array_to_vector
+
+        self.row = row
+        self.frame = vectors.select(row, array_to_vector(F.col(vector).cast("array<double>")).alias("features"))
+        self.model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", numHashTables=tables, bucketLength=bucket_length, seed=seed).fit(self.frame)
+
+    def search(self, query, k: int) -> DataFrame:
+        """(row, score) of about k nearest; fewer if their buckets hold fewer."""
+        from pyspark.ml.linalg import Vectors
+
+        found = self.model.approxNearestNeighbors(self.frame, Vectors.dense([float(x) for x in query]), k, distCol="score")
+        return found.select(self.row, "score").orderBy("score", self.row)

@@ -312,6 +312,26 @@ def recall_postfilter_vs_truth(spark, sf):
     return hits.select(F.round(F.col("h") / (n * 5), 6).alias("recall"))
 
 
+_SIZES = (2, 6, 11, 26, 51)
+
+
+@query(
+    " UNION ALL ".join(
+        f"""SELECT {s} AS size, CAST(sum(greatest(5 - c, 0)) AS BIGINT) AS missing FROM (SELECT qid, count(*) FILTER (r <= 50 AND vec_id IN (SELECT p_partkey FROM part WHERE p_size < {s})) AS c
+  FROM (SELECT qid, vec_id, row_number() OVER (PARTITION BY qid ORDER BY {_D2}, vec_id) AS r FROM embeddings, (SELECT vec_id AS qid, embedding AS q FROM embeddings WHERE vec_id % 25 = 0)) GROUP BY qid)"""
+        for s in _SIZES
+    )
+)
+def hybrid_postfilter_shortfall(spark, sf):
+    """Rows that a post-filter of ten times five nearest falls short of five, by the size the parts are filtered on."""
+    e = _embeddings(spark, sf)
+    queries = e.filter("id % 25 = 0")
+    near = V.search_batch(e, queries, 50).join(_part(spark, sf).select(F.col("p_partkey").alias("id"), "p_size"), "id", "left")
+    counts = near.groupBy("qid").agg(*(F.sum(F.coalesce((F.col("p_size") < s).cast("long"), F.lit(0))).alias(f"c{s}") for s in _SIZES))
+    total = counts.agg(*(F.sum(F.greatest(5 - F.col(f"c{s}"), F.lit(0))).alias(f"c{s}") for s in _SIZES))
+    return total.select(F.explode(F.array(*(F.struct(F.lit(s).alias("size"), F.col(f"c{s}").alias("missing")) for s in _SIZES))).alias("x")).select("x.*")
+
+
 # learned positions
 
 _KEYS = "(SELECT CAST(k AS DOUBLE) AS x, k, CAST(row_number() OVER (ORDER BY k) - 1 AS DOUBLE) AS p FROM (SELECT DISTINCT o_totalprice AS k FROM orders))"
