@@ -28,7 +28,7 @@ def small_batches(spark: SparkSession) -> None:
 def shared_folder(spark: SparkSession, what: str) -> str:
     """A new path in the folder that driver and executors share."""
     sc = spark.sparkContext
-    root = sc.getConf().get("spark.checkpoint.dir") or sc._jsc.sc().getCheckpointDir().getOrElse(None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc._jsc.sc().getCheckpointDir().getOrElse(None)
     if not root:
         root = tempfile.mkdtemp(prefix="tessera-")
         sc.setCheckpointDir(root)
