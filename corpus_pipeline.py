@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tessera.llm import decontam, neardup, pieces, quality, secrets
 from tessera.llm.arrow import shared_folder
 from tessera.llm.components import keep
+from tessera.llm.frames import shielded
 
 #: The last stage can't be said in SQL; tests/llm/test_pipeline.py holds every stage against a plain version.
 ORACLE_SQL = None
@@ -27,7 +28,8 @@ def _key() -> Column:
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that break a quality rule go."""
-    return quality.quality_rules(spark, docs).filter("kept").select(docs.columns)
+    inside, restored = shielded(docs, "text")
+    return restored(quality.quality_rules(spark, inside).filter("kept"))
 
 
 def unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

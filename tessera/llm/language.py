@@ -116,8 +116,9 @@ def learn(spark: SparkSession, labelled: DataFrame, text: str = "text", lang: st
     if len(names) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
     found = np.zeros((len(names), DIMENSIONS))
+    place = {name: k for k, name in enumerate(names)}
     for name, i, x in total.collect():
-        found[names.index(name), i] = x
+        found[place[name], i] = x
     return names, _unit(found)
 
 

@@ -27,6 +27,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.frames import shielded
+
 # The three base forms.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -234,7 +236,8 @@ def find_secrets(df: DataFrame, text: str = "text") -> DataFrame:
 
 def redact(df: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """The text with every span of find_secrets replaced; overlapping spans give one mark. Other columns stay."""
-    found = find_secrets(df, text)
+    inside, restored = shielded(df, text)
+    found = find_secrets(inside, text)
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     cut = F.aggregate(
         "secrets",
@@ -245,7 +248,7 @@ def redact(df: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFra
         ),
     )
     whole = F.concat(cut["out"], F.substring(F.col(text), cut["at"] + 1, F.length(text)))
-    return found.withColumn(text, F.when(F.size("secrets") > 0, whole).otherwise(F.col(text))).select(df.columns)
+    return restored(found.withColumn(text, F.when(F.size("secrets") > 0, whole).otherwise(F.col(text))))
 
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,6 +16,7 @@ when a shard is added.
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 from bisect import bisect_left
 
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 RING = 1 << 32
-CELLS = 1 << 14
+CELLS = 1 << 12
 
 
 def ring_points(shards: int, vnodes: int) -> list[tuple[int, int]]:
@@ -72,6 +73,13 @@ def _position(key: Column) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(RING))
 
 
+def _table(spark: SparkSession, rows: list[tuple], fields: str) -> DataFrame:
+    """A small table from values, as one SQL literal."""
+    names = [f.split()[0] for f in fields.split(", ")]
+    text = json.dumps([dict(zip(names, r, strict=True)) for r in rows])
+    return spark.range(1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{fields}>>")))
+
+
 def _with_arc(spark: SparkSession, df: DataFrame, key: str, points: list[tuple[int, int]]) -> DataFrame:
     """Adds __pos and __arc. The ring is cut into equal cells; a cell knows the few points inside it."""
     width, at = RING // CELLS, [p for p, _ in points]
@@ -79,7 +87,7 @@ def _with_arc(spark: SparkSession, df: DataFrame, key: str, points: list[tuple[i
     for c in range(CELLS):
         first, last = bisect_left(at, c * width), bisect_left(at, (c + 1) * width)
         cells.append((c, first, at[first:last]))
-    table = spark.createDataFrame(cells, "__cell long, __first int, __inside array<long>")
+    table = _table(spark, cells, "__cell long, __first int, __inside array<long>")
     found = df.withColumn("__pos", _position(F.col(key))).withColumn("__cell", F.floor(F.col("__pos") / width))
     passed = F.size(F.filter("__inside", lambda p: p < F.col("__pos")))
     return (
@@ -103,7 +111,7 @@ def assign_shards(spark: SparkSession, df: DataFrame, key: str, shards: int, vno
     counted = _with_arc(spark, df.select(key), key, points).groupBy("__arc").count()
     counts = {r[0]: r[1] for r in counted.collect()}  # shards * vnodes numbers at most
     plan = settle(counts, owners, capacities(sum(counts.values()), shards, slack))
-    table = spark.createDataFrame(plan, "__arc int, __from long, __to long, shard int, __base long")
+    table = _table(spark, plan, "__arc int, __from long, __to long, shard int, __base long")
     table = table.groupBy("__arc").agg(F.collect_list(F.struct("__from", "__to", "shard", "__base")).alias("__plan"))
     order = Window.partitionBy("__arc").orderBy("__pos", key, *(ties or []))
     ranked = rows.withColumn("__rank", F.row_number().over(order) - 1)

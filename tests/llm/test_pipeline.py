@@ -1,6 +1,7 @@
 import duckdb
 import public_tokenizers
 import sentencepiece
+from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 from tessera.llm import decontam, neardup, quality
@@ -42,11 +43,12 @@ def test_whole_run(spark):
 def test_edges(spark):
     long = " ".join(f"word{i}" for i in range(80))
     rows = [(None, long, "a", 1), (None, long, "b", 1), (5, long, "c", 1), (5, long, "c", 1), (None, None, None, None), (7, "", "d", 0), (None, long.replace("word", "other"), "e", 1), (8, long.replace("word", "third") + " token=abcdefgh", "f", 1)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, class_id string, n_chars long")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, class_id string, n_chars long").withColumns({c: F.lit(c) for c in ("kept", "secrets", "n_words", "matched", "seed", "shard")})
     out = docs
     for name, stage in P.STAGES[:4]:
         out = stage(spark, out, SF)
-        assert out.columns == docs.columns, name
+        assert out.columns == docs.columns and out.dtypes == docs.dtypes, name
+    assert all(r[c] == c for r in out.collect() for c in ("kept", "secrets", "n_words", "matched", "seed", "shard"))
     got = sorted((r["doc_id"] or 0, r["text"][:5], r["n_chars"] == len(r["text"])) for r in out.collect())
     assert got == [(0, "other", True), (5, "word0", True), (8, "third", True)]
     for _, stage in P.STAGES:

@@ -52,8 +52,8 @@ def test_discoveries_are_benjamini_hochberg(spark):
 
 def test_redaction(spark):
     df = spark.createDataFrame([(1, "é token=abcdefgh end", "s"), (2, None, "s"), (3, "plain", "s")], "doc_id int, text string, secrets string")
-    got = {r["doc_id"]: r["text"] for r in S.redact(df).collect()}
-    assert got == {1: "é [SECRET] end", 2: None, 3: "plain"}
+    got = {r["doc_id"]: (r["text"], r["secrets"]) for r in S.redact(df).collect()}
+    assert got == {1: ("é [SECRET] end", "s"), 2: (None, "s"), 3: ("plain", "s")}
     assert S.redact(df.limit(0)).columns == df.columns
 
 
