@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tessera.functions.schema import Schema
-from tessera.functions.types import LogicalType, check_literal, format_value, literal, type_is_ordered
+from tessera.functions.types import LogicalType, check_literal, format_value, literal
 
 
 class PredOp(str, Enum):

@@ -231,20 +231,25 @@ class Table:
 
     # queries
 
-    def _trace(self, p: Predicate) -> P.QueryTrace:
+    def _trace(self, p: Predicate, rows: int) -> P.QueryTrace:
         plan = self._indexed.get(p.column)
         if not op_is_indexable(p.op):
-            return P.QueryTrace(f"no order helps {p.op.value!r}; all rows are read", False, len(self))
+            return P.QueryTrace(f"no order helps {p.op.value!r}; all rows are read", False, rows)
         if plan is None:
-            return P.QueryTrace(f"{p.column!r} has no layout of its own; all rows are read", False, len(self))
+            return P.QueryTrace(f"{p.column!r} has no layout of its own; all rows are read", False, rows)
         return P.QueryTrace(f"{p.column!r} is laid out as {plan.kind.value} ({plan.encoding.value})", True, 0)
 
+    def _counts(self, condition) -> tuple[int, int]:
+        """(all rows, rows for which a condition holds), in one pass."""
+        return tuple(self.frame().agg(F.count("*"), F.count_if(condition)).first())
+
     def select(self, column, op=None, value=None, value2=None) -> tuple[DataFrame, P.QueryTrace]:
         p = column if isinstance(column, Predicate) else Predicate.of((column, op, value, value2))
         condition = p.compile(self.schema)
-        rows, trace = self.frame().filter(condition), self._trace(p)
-        trace.matched = rows.count()
-        return rows.orderBy(KEY), trace
+        rows, matched = self._counts(condition)
+        trace = self._trace(p, rows)
+        trace.matched = matched
+        return self.frame().filter(condition).orderBy(KEY), trace
 
     def select_keys(self, column, op=None, value=None, value2=None) -> tuple[DataFrame, P.QueryTrace]:
         rows, trace = self.select(column, op, value, value2)
@@ -256,11 +261,12 @@ class Table:
 
     def _combined(self, predicates, condition, empty: str) -> tuple[DataFrame, P.QueryTrace]:
         predicates = [Predicate.of(p) for p in predicates]
-        rows = self.frame().filter(condition(predicates, self.schema))
-        matched = rows.count()
+        test = condition(predicates, self.schema)
+        total, matched = self._counts(test)
+        rows = self.frame().filter(test)
         if not predicates:
-            return rows.orderBy(KEY), P.QueryTrace(empty, False, len(self), matched)
-        traces = [self._trace(p) for p in predicates]
+            return rows.orderBy(KEY), P.QueryTrace(empty, False, total, matched)
+        traces = [self._trace(p, total) for p in predicates]
         used = any(t.used_index for t in traces)
         scanned = max(t.scanned for t in traces)
         return rows.orderBy(KEY), P.QueryTrace("one pass tests all conditions: " + "; ".join(t.reason for t in traces), used, scanned, matched)
@@ -460,10 +466,12 @@ class Table:
         """Rows of the vectors whose records match, and the report so far; one pass counts both."""
         v = self._vector(column)
         predicates = [Predicate.of(p) for p in predicates]
-        rows = self.frame().filter(all_of(predicates, self.schema)).select(KEY)
+        test = all_of(predicates, self.schema)
+        total = self._counts(test)[0]
+        rows = self.frame().filter(test).select(KEY)
         joined = rows.join(v.live().select(KEY, "_vrow"), KEY, "left")
         matched, without = joined.agg(F.count("*"), F.coalesce(F.sum(F.col("_vrow").isNull().cast("long")), F.lit(0))).first()
-        traces = [self._trace(p) for p in predicates]
+        traces = [self._trace(p, total) for p in predicates]
         mask = bool(predicates) and all(p.column in self._indexed and self._indexed[p.column].kind == IndexKind.BITMAP and op_is_indexable(p.op) for p in predicates)
         trace = P.QueryTrace("; ".join(t.reason for t in traces), any(t.used_index for t in traces), max([0, *(t.scanned for t in traces)]), matched)
         return joined.filter("_vrow is not null").select("_vrow"), P.HybridTrace(trace, P.QueryPlan(), without, mask)
