@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -37,6 +38,14 @@ def shared_folder(spark: SparkSession, what: str) -> str:
     return f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
+def release() -> None:
+    """Gives memory that is free in this worker back to the system: a worker outlives its task."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Consecutive parts of the batches with about `most` bytes of text each (one text at least), null as empty."""
     for batch in batches:
@@ -48,6 +57,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = SLICE_BYTES
             end = max(at + 1, int(np.searchsorted(sizes, before + most, side="right")))
             yield batch.slice(at, end - at), pc.fill_null(column.slice(at, end - at), "").to_pylist()
             at = end
+    release()
 
 
 class Words:
@@ -85,7 +95,7 @@ _POWERS: dict[int, np.ndarray] = {}
 def _powers(base: int, n: int) -> np.ndarray:
     have = _POWERS.get(base)
     if have is None or len(have) < n:
-        size = max(n, 2 * SLICE_BYTES)
+        size = max(n, SLICE_BYTES * 5 // 4)
         have = np.full(size, base, np.uint64)
         have[0] = 1
         have = np.cumprod(have)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.arrow import Words, mix, slices, small_batches, windows
+from tessera.llm.arrow import Words, mix, release, slices, small_batches, windows
 from tessera.llm.components import connected_components, keep
 
 N = 5
@@ -114,6 +114,7 @@ def _groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.
             last = tuple(keys[s])
     if held:
         yield pa.Table.from_batches(held)
+    release()
 
 
 def _overlaps(value: np.ndarray, first: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:

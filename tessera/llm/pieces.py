@@ -26,7 +26,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StructType
 from tessera.llm.arrow import slices, small_batches
 
 MARK = "▁"
-CACHE = 200_000
+CACHE = 100_000
 BPE = 2  # model_type of the trainer's settings
 
 
