@@ -12,8 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Identifier and normalised wording of known sentences.
-SENTENCES = {
+# Identifier and normalised wording of the sentences that the SQL knows, which stays as it is.
+SQL_SENTENCES = {
     "ApacheRef": ("licensed under the apache license version 2 0", "licensed under the apache license version 2 0 the license"),
     "ApacheUse": ("you may not use this file except in compliance with the license",),
     "ApacheCopy": ("you may obtain a copy of the license at", "you may obtain a copy of the license at http www apache org licenses license 2 0"),
@@ -35,7 +35,7 @@ SENTENCES = {
     "Reserved": ("all rights reserved",),
 }
 # Licence and the sequence of identifiers that it takes, in order of trial.
-RULES = (
+SQL_RULES = (
     ("Apache-2.0", ("ApacheRef", "ApacheUse", "ApacheCopy", "ApacheAsIs", "ApacheSee")),
     ("GPL-3.0-or-later", ("Gpl3Later", "GplHope", "GplSee")),
     ("GPL-2.0-or-later", ("Gpl2Later", "GplHope", "GplSee")),
@@ -54,6 +54,19 @@ RULES = (
 )
 
 BLANK = r"[\x20\x09-\x0D]"
+
+# The grant of the MIT licence has a blank line after "conditions:", so its halves are sentences of their own; copies
+# without that line have the joined form.
+SENTENCES = SQL_SENTENCES | {
+    "MitPermit": ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",),
+    "MitNotice": ("the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",),
+}
+RULES = (
+    ("MIT", ("MitPermit", "MitNotice", "MitAsIs")),
+    *SQL_RULES,
+    ("MIT", ("MitPermit", "MitNotice")),
+    ("MIT", ("MitPermit",)),
+)
 KNOWN = {wording: name for name, wordings in SENTENCES.items() for wording in wordings}
 
 
@@ -103,11 +116,11 @@ def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sql() -> str:
     def known(text: str) -> str:
-        names = ", ".join(f"'{w}': '{n}'" for w, n in KNOWN.items())
+        names = ", ".join(f"'{w}': '{n}'" for n, wordings in SQL_SENTENCES.items() for w in wordings)
         return f"list_filter(list_transform(string_split({text}, chr(10)), lambda s: map_extract_value(MAP {{{names}}}, trim(regexp_replace(s, '[^a-z0-9]+', ' ', 'g')))), lambda x: x IS NOT NULL)"
 
     steps = ["s0 AS (SELECT doc_id, sentences, CASE WHEN len(sentences) > 0 THEN concat('|', array_to_string(sentences, '||'), '|') ELSE '' END AS seq, CAST([] AS VARCHAR[]) AS found FROM cut)"]
-    for k, (licence, rule) in enumerate(RULES):
+    for k, (licence, rule) in enumerate(SQL_RULES):
         run = "".join(f"|{s}|" for s in rule)
         steps.append(f"s{k + 1} AS (SELECT doc_id, sentences, replace(seq, '{run}', '') AS seq, CASE WHEN contains(seq, '{run}') AND NOT list_contains(found, '{licence}') THEN list_append(found, '{licence}') ELSE found END AS found FROM s{k})")
     return f"""
@@ -118,7 +131,7 @@ WITH low AS (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents), both
   SELECT doc_id, CASE WHEN len(runs) > len(lines) THEN runs ELSE lines END AS sentences FROM both_ways
 ), {", ".join(steps)}
 SELECT doc_id, CAST(len(sentences) AS BIGINT) AS n_sentences, array_to_string(sentences, ',') AS sentences, array_to_string(found, ',') AS licences,
-  array_to_string(list_filter(string_split(seq, '|'), lambda x: x <> ''), ',') AS "left" FROM s{len(RULES)}
+  array_to_string(list_filter(string_split(seq, '|'), lambda x: x <> ''), ',') AS "left" FROM s{len(SQL_RULES)}
 """
 
 

@@ -44,3 +44,39 @@ def test_query_against_sql(spark):
 @pytest.mark.parametrize("rule", [r for _, r in L.RULES])
 def test_rules_name_known_sentences(rule):
     assert set(rule) <= set(L.SENTENCES)
+
+
+# the text as the Open Source Initiative has it
+MIT_WHOLE = """MIT License
+
+Copyright (c) 2020 Some Body
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+
+
+def scanned(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    return [(r["licences"], r["left"]) for r in L.scan_licences(df).orderBy("i").collect()]
+
+
+def test_unmodified_mit_text(spark):
+    paragraphs = "\n\n".join(p.replace("\n", " ") for p in MIT_WHOLE.strip().split("\n\n"))
+    for text in (MIT_WHOLE, paragraphs, paragraphs.replace("\n\n", "\n")):
+        assert scanned(spark, [text]) == [(["MIT"], [])], text
