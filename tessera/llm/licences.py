@@ -3,8 +3,8 @@
 A text is cut into sentences, which are normalised to lower-case letters and digits with single blanks and looked up
 among known licence sentences. What remains is a short sequence of identifiers. Ordered rules are matched against it:
 the first rules need the most sentences, a rule takes the identifiers it has matched out of the sequence, and what no
-rule takes is reported. Sentences may end at line ends or run over them; of the two ways to cut a text the one that
-knows more sentences holds.
+rule takes is reported. Sentences may end at line ends or run over them: a stretch between ends of sentences and blank
+lines that is known as a whole is one sentence, and of any other stretch each line is looked up.
 """
 
 from __future__ import annotations
@@ -54,6 +54,7 @@ SQL_RULES = (
 )
 
 BLANK = r"[\x20\x09-\x0D]"
+END = rf"([.!?]){BLANK}+|\n[^a-z0-9\n]*\n"  # of a sentence, or a line without letters and digits
 
 # The grant of the MIT licence has a blank line after "conditions:", so its halves are sentences of their own; copies
 # without that line have the joined form.
@@ -70,11 +71,24 @@ RULES = (
 KNOWN = {wording: name for name, wordings in SENTENCES.items() for wording in wordings}
 
 
-def _known(text: Column) -> Column:
-    """Identifiers of the known ones among the lines of a lower-case text."""
+def _known(piece: Column) -> Column:
+    """array<string> of the identifier of a lower-case piece of text, empty for an unknown one."""
     names = F.create_map(*(F.lit(x) for pair in KNOWN.items() for x in pair))
-    found = F.transform(F.split(text, "\n"), lambda s: F.element_at(names, F.trim(F.regexp_replace(s, "[^a-z0-9]+", " "))))
-    return F.filter(found, lambda x: x.isNotNull())
+    return F.filter(F.array(F.element_at(names, F.trim(F.regexp_replace(piece, "[^a-z0-9]+", " ")))), lambda x: x.isNotNull())
+
+
+def _sentences(text: Column) -> Column:
+    """Identifiers of the known sentences of a text, in its order.
+
+    No piece of a line reaches over the end of a stretch, so that every sentence of either cut has its place.
+    """
+    ended = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), END, "$1\u0001")
+
+    def either(piece: Column) -> Column:
+        lines = F.flatten(F.transform(F.split(piece, "\n"), _known))
+        return F.element_at(F.transform(F.array(_known(piece)), lambda whole: F.when(F.size(whole) > 0, whole).otherwise(lines)), 1)
+
+    return F.flatten(F.transform(F.split(ended, "\u0001"), either))
 
 
 def scan_licences(df: DataFrame, text: str = "text") -> DataFrame:
@@ -84,10 +98,7 @@ def scan_licences(df: DataFrame, text: str = "text") -> DataFrame:
     A null or empty text has empty arrays. Columns of these names are replaced, all others stay; every row is judged
     by itself, so repeated rows repeat their result. Names that begin with two underscores are reserved.
     """
-    ended = F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), rf"([.!?]){BLANK}+", "$1\n")
-    wrapped = F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), rf"([.!?]){BLANK}+|\n\n+", "$1\u0001"), r"\n", " ")
-    out = df.drop("sentences", "licences", "left").withColumn("__lines", _known(ended)).withColumn("__runs", _known(F.translate(wrapped, "\u0001", "\n")))
-    out = out.withColumn("sentences", F.when(F.size("__runs") > F.size("__lines"), F.col("__runs")).otherwise(F.col("__lines")))
+    out = df.drop("sentences", "licences", "left").withColumn("sentences", _sentences(F.col(text)))
     # identifiers between bars, each with a bar of its own on both sides, so that a rule can't match parts of names
     out = out.withColumn("__seq", F.concat(F.lit("|"), F.array_join("sentences", "||"), F.lit("|"))).withColumn("__found", F.array().cast("array<string>"))
     state = F.struct(F.col("__seq").alias("seq"), F.col("__found").alias("found"))
@@ -104,7 +115,7 @@ def scan_licences(df: DataFrame, text: str = "text") -> DataFrame:
             "licences": F.array_distinct(F.coalesce("__taken.found", F.array().cast("array<string>"))),
             "left": F.coalesce(left, F.array().cast("array<string>")),
         }
-    ).drop("__lines", "__runs", "__seq", "__found", "__taken")
+    ).drop("__seq", "__found", "__taken")
 
 
 def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:

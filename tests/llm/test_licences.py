@@ -80,3 +80,26 @@ def test_unmodified_mit_text(spark):
     paragraphs = "\n\n".join(p.replace("\n", " ") for p in MIT_WHOLE.strip().split("\n\n"))
     for text in (MIT_WHOLE, paragraphs, paragraphs.replace("\n\n", "\n")):
         assert scanned(spark, [text]) == [(["MIT"], [])], text
+
+
+GPL3 = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details."""
+LINE = "Some prose here\nLicensed under CC BY-NC 4.0\nmore prose here"
+
+
+def test_both_cuts_count(spark):
+    wrapped = "This project is\nlicensed under the MIT License."
+    both = [LINE + "\n\n" + GPL3, GPL3 + "\n\n" + LINE, LINE + "\n\n" + wrapped, LINE + "\n \n" + wrapped, LINE + "\n\n" + wrapped + "\n\n" + LINE]
+    gpl, mit = (["GPL-3.0-or-later", "CC-BY-NC-4.0"], []), (["MIT", "CC-BY-NC-4.0"], [])
+    assert scanned(spark, both) == [gpl, gpl, mit, mit, mit]
+    commented = "/*\n" + "\n".join(" * " + x for x in MIT_WHOLE.split("\n")) + "\n */"
+    assert scanned(spark, [commented, MIT_WHOLE.replace("\n", "\r\n")]) == [(["MIT"], [])] * 2
+    df = spark.createDataFrame([(LINE + "\n\n" + GPL3 + "\n\n" + wrapped,)], "text string")
+    assert L.scan_licences(df).first()["sentences"] == ["CcByNcRef", "Gpl3Later", "GplHope", "GplSee", "MitRef"]
