@@ -1,7 +1,7 @@
 """Licence scans by sentence rules, in DataFrame operations only.
 
 A text is cut into sentences, which are normalised to lower-case letters and digits with single blanks and looked up
-among known licence sentences. What remains is a short sequence of identifiers. Ordered rules are matched against it:
+among known licence sentences; of references ("licensed under ...", "License: ...", SPDX tags) the names are. What remains is a short sequence of identifiers. Ordered rules are matched against it:
 the first rules need the most sentences, a rule takes the identifiers it has matched out of the sequence, and what no
 rule takes is reported. Sentences may end at line ends or run over them: a stretch between ends of sentences and blank
 lines that is known as a whole is one sentence, and of any other stretch each line is looked up.
@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.licence_texts import catalogue
+
 # Identifier and normalised wording of the sentences that the SQL knows, which stays as it is.
 SQL_SENTENCES = {
     "ApacheRef": ("licensed under the apache license version 2 0", "licensed under the apache license version 2 0 the license"),
@@ -55,26 +57,63 @@ SQL_RULES = (
 
 BLANK = r"[\x20\x09-\x0D]"
 END = rf"([.!?]){BLANK}+|\n[^a-z0-9\n]*\n"  # of a sentence, or a line without letters and digits
-
-# The grant of the MIT licence has a blank line after "conditions:", so its halves are sentences of their own; copies
-# without that line have the joined form.
-SENTENCES = SQL_SENTENCES | {
-    "MitPermit": ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",),
-    "MitNotice": ("the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",),
-}
-RULES = (
-    ("MIT", ("MitPermit", "MitNotice", "MitAsIs")),
-    *SQL_RULES,
-    ("MIT", ("MitPermit", "MitNotice")),
-    ("MIT", ("MitPermit",)),
+# A word of every sentence that can be known; other pieces are not looked up.
+CUE = r"licen|under|subject|reserved|permission|redistribut|warrant|software|contributors|copyright|anyone|\bmpl\b|\bcc0\b"
+_SUBJECT = r"(?:(?:this|the|all|our|it|these)(?: (?!not |no |never |neither )[a-z0-9]+){0,4} (?:is|are) |(?:code|content|text|documentation|software|source) )?"
+REFERENCE = (
+    r"^(?:(?:except where|unless) (?:otherwise )?(?:noted|stated) )?(?:(?:spdx )?licen[sc]e(?: identifier)?|"
+    + _SUBJECT
+    + r"(?:dual |also |freely )?(?:licen[sc]ed|released|distributed|published|provided|made available|available|subject)(?: to you)? (?:under|to)) (.+)$"
 )
+# Pattern and what takes its place, in a normalised reference, in this order.
+PLAIN = (
+    (r" or (?:at your option )?(?:any )?(?:later|newer)(?: versions?)?(?: at your option)?(?= |$)", " orlater"),
+    (r" (?:see|in) (?:the )?(?:accompanying )?(?:licen[sc]e|copying|file|readme|root)(?: .*)?$| at your option$", ""),
+    (r"\b(?:terms and conditions|terms|conditions|the|of|either|both|licen[sc]es?|a|an|only|international|unported|generic)\b", " "),
+    (r"(?:\bversion ?|\bv ?|(?<=gpl)v)(?=[0-9])", ""),
+    (r" +", " "),
+    (r"([0-9]) 0(?= |$)", "$1"),
+)
+
+SENTENCES, RULES, NAMES = catalogue(SQL_SENTENCES, SQL_RULES)
 KNOWN = {wording: name for name, wordings in SENTENCES.items() for wording in wordings}
 
 
-def _known(piece: Column) -> Column:
-    """array<string> of the identifier of a lower-case piece of text, empty for an unknown one."""
-    names = F.create_map(*(F.lit(x) for pair in KNOWN.items() for x in pair))
-    return F.filter(F.array(F.element_at(names, F.trim(F.regexp_replace(piece, "[^a-z0-9]+", " ")))), lambda x: x.isNotNull())
+def _map(known: dict[str, str]) -> Column:
+    return F.create_map(*(F.lit(x) for pair in known.items() for x in pair))
+
+
+def _let(value: Column, then) -> Column:
+    """then(value), which may use it more than once."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def _plain(reference: Column) -> Column:
+    for pattern, to in PLAIN:
+        reference = F.regexp_replace(reference, pattern, to)
+    return F.trim(reference)
+
+
+def _named(sentence: Column, whole: bool) -> Column:
+    """array<string> of the identifiers of what a reference names; whole: only if all names are known."""
+    terms = F.filter(F.transform(F.split(_plain(F.regexp_extract(sentence, REFERENCE, 1)), r"(?:^| )(?:and|or|with)(?= |$)"), lambda x: F.trim(x)), lambda x: x != "")
+
+    def looked_up(t: Column) -> Column:
+        found = F.filter(F.transform(t, lambda x: F.element_at(_map(NAMES), x)), lambda x: x.isNotNull())
+        return _let(found, lambda x: F.when(F.size(x) == F.size(t), x).otherwise(F.array().cast("array<string>"))) if whole else found
+
+    return F.when(sentence.rlike(REFERENCE), _let(terms, looked_up)).otherwise(F.array().cast("array<string>"))
+
+
+def _known(piece: Column, whole: bool) -> Column:
+    """array<string> of the identifiers of a lower-case piece of text, empty for an unknown one."""
+    plain = F.trim(F.regexp_replace(F.regexp_replace(piece, r"([0-9])\+", "$1 or later"), "[^a-z0-9]+", " "))
+
+    def looked_up(sentence: Column) -> Column:
+        wording = F.regexp_replace(sentence, r"^(?:[a-z0-9]+ ){1,4}is (free software you can|distributed in the hope)", "this program is $1")
+        return _let(F.element_at(_map(KNOWN), wording), lambda x: F.when(x.isNotNull(), F.array(x)).otherwise(_named(sentence, whole)))
+
+    return F.when(piece.rlike(CUE), _let(plain, looked_up)).otherwise(F.array().cast("array<string>"))
 
 
 def _sentences(text: Column) -> Column:
@@ -85,8 +124,8 @@ def _sentences(text: Column) -> Column:
     ended = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), END, "$1\u0001")
 
     def either(piece: Column) -> Column:
-        lines = F.flatten(F.transform(F.split(piece, "\n"), _known))
-        return F.element_at(F.transform(F.array(_known(piece)), lambda whole: F.when(F.size(whole) > 0, whole).otherwise(lines)), 1)
+        lines = F.flatten(F.transform(F.split(piece, "\n"), lambda line: _known(line, False)))
+        return F.when(piece.rlike(CUE), _let(_known(piece, True), lambda x: F.when(F.size(x) > 0, x).otherwise(lines))).otherwise(F.array().cast("array<string>"))
 
     return F.flatten(F.transform(F.split(ended, "\u0001"), either))
 

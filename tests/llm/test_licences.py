@@ -1,3 +1,5 @@
+import re
+
 import pytest
 
 from tessera.llm import licences as L
@@ -103,3 +105,35 @@ def test_both_cuts_count(spark):
     assert scanned(spark, [commented, MIT_WHOLE.replace("\n", "\r\n")]) == [(["MIT"], [])] * 2
     df = spark.createDataFrame([(LINE + "\n\n" + GPL3 + "\n\n" + wrapped,)], "text string")
     assert L.scan_licences(df).first()["sentences"] == ["CcByNcRef", "Gpl3Later", "GplHope", "GplSee", "MitRef"]
+
+
+REFERENCES = [
+    ("SPDX-License-Identifier: MIT", ["MIT"]),
+    ("# SPDX-License-Identifier: (GPL-2.0+ WITH Classpath-exception-2.0) OR Apache-2.0\n# more", ["Apache-2.0", "GPL-2.0-or-later"]),
+    ("/* SPDX-License-Identifier: LGPL-2.1-only */", ["LGPL-2.1"]),
+    ("SPDX-License-Identifier: MIT\nSPDX-License-Identifier: CC0-1.0 OR Unlicense", ["MIT", "Unlicense", "CC0-1.0"]),
+    ("This file is licensed under the MIT License.", ["MIT"]),
+    ("Licensed under the GNU General Public License, version 2.", ["GPL-2.0"]),
+    ("It is licensed under the GNU Affero General Public License v3.0 or later", ["AGPL-3.0-or-later"]),
+    ("Released under GPLv3+", ["GPL-3.0-or-later"]),
+    ("Licensed under the Mozilla Public License 2.0.", ["MPL-2.0"]),
+    ("Licensed under CC BY-SA 4.0.", ["CC-BY-SA-4.0"]),
+    ("This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike\n3.0 Unported License.", ["CC-BY-NC-SA-3.0"]),
+    ("Licensed under either of Apache License, Version 2.0 or MIT license at your option.", ["Apache-2.0", "MIT"]),
+    ("The code is available under the terms of the ISC license, see the LICENSE file.", ["ISC"]),
+    ("License: BSD-3-Clause", ["BSD-3-Clause"]),
+    ("This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version.", ["LGPL-2.1-or-later"]),
+    (GPL3.replace("General", "Affero General"), ["AGPL-3.0-or-later"]),
+    ("This is free and unencumbered software released into the public domain.", ["Unlicense"]),
+    ("This file is not licensed under the MIT License.", []),
+    ("He walked under the bridge. The MIT is a school, and the license plate was red.", []),
+]
+
+
+def test_references_and_families(spark):
+    got = scanned(spark, [t for t, _ in REFERENCES])
+    assert [x for x in zip(REFERENCES, got, strict=True) if x[1] != (x[0][1], [])] == []
+
+
+def test_every_wording_has_a_cue():
+    assert [w for w in L.KNOWN if not re.search(L.CUE, w)] == []
