@@ -16,8 +16,8 @@ procedure at FALSE_SHARE, separately for each class of lengths, over all candida
 little evidence and must not borrow it from long ones. P-values are rounded up to a grid of GRID steps, so the
 procedure needs only counts by class and step, a table of fixed size.
 
-A candidate that words don't explain and randomness does is added as a span of kind `random`, unless a fixed form
-has found characters of it.
+A candidate that words don't explain and randomness does is added as a span of kind `random`. Where a fixed form has
+found characters of a run, the parts of the run outside are the candidates, without the signs next to the form.
 """
 
 from __future__ import annotations
@@ -74,6 +74,42 @@ def _located(text: Column, pattern: str, keep=None) -> Column:
     return F.when(text.rlike(pattern), found).otherwise(none)
 
 
+def _base_spans(text: Column) -> Column:
+    """array<struct<start,kind_no,end>> of the fixed forms, in code points."""
+    forms = (
+        _located(text, ASSIGN, lambda m: F.length(F.regexp_extract(m["v"], ASSIGN, 2)) >= 6),
+        _located(text, ACCESS, lambda m: m["e"] - m["s"] >= 20),
+        _located(text, HEX),
+    )
+    return F.concat(*(_spans(found, i) for i, found in enumerate(forms)))
+
+
+def _spans(found: Column, kind_no: int) -> Column:
+    return F.transform(found, lambda m: F.struct(m["s"].alias("start"), F.lit(kind_no).alias("kind_no"), m["e"].alias("end")))
+
+
+def _outside(runs: Column, base: Column) -> Column:
+    """The candidates: the runs that no base span touches, and of the others what lies outside and is long enough."""
+
+    def parts(r: Column, over: Column) -> Column:
+        # the gaps between the spans; a gap that begins or ends at a span loses the signs there
+        ends = F.concat(F.array(r["s"]), F.transform(over, lambda b: b["end"]))
+        ends = F.transform(ends, lambda e, i: F.array_max(F.slice(ends, 1, i + 1)))
+        gaps = F.zip_with(ends, F.concat(F.transform(over, lambda b: b["start"]), F.array(r["e"])), lambda s, e: F.struct(s.alias("s"), e.alias("e")))
+        gaps = F.filter(gaps, lambda g: g["s"] < g["e"])
+        cut = F.transform(gaps, lambda g: F.struct(g["s"].alias("s"), g["e"].alias("e"), F.substring(r["v"], g["s"] - r["s"] + 1, g["e"] - g["s"]).alias("v")))
+        cut = F.transform(cut, lambda g: F.struct(g["e"].alias("e"), F.when(g["s"] > r["s"], F.regexp_replace(g["v"], "^[+/_=-]+", "")).otherwise(g["v"]).alias("v")))
+        cut = F.transform(cut, lambda g: F.struct((g["e"] - F.length(g["v"])).alias("s"), F.when(g["e"] < r["e"], F.regexp_replace(g["v"], "[+/_=-]+$", "")).otherwise(g["v"]).alias("v")))
+        cut = F.filter(cut, lambda g: g["v"].rlike("^[A-Za-z0-9+/_-]{20,}={0,2}$"))
+        return F.transform(cut, lambda g: F.struct(g["s"].alias("s"), (g["s"] + F.length(g["v"])).alias("e"), g["v"].alias("v")))
+
+    def one(r: Column) -> Column:
+        over = F.array_sort(F.filter(base, lambda b: (b["start"] < r["e"]) & (r["s"] < b["end"])))
+        return F.when(F.exists(base, lambda b: (b["start"] < r["e"]) & (r["s"] < b["end"])), parts(r, over)).otherwise(F.array(r))
+
+    return F.flatten(F.transform(runs, one))
+
+
 def _tail(z: Column) -> Column:
     """P(Z > z) for a standard normal Z: the approximation of Abramowitz and Stegun 26.2.17."""
     a = F.least(F.abs(z), F.lit(37.0))
@@ -210,16 +246,10 @@ def find_secrets(df: DataFrame, text: str = "text") -> DataFrame:
     the false-discovery control only the candidates are searched, and nothing is shuffled but counts by class and step.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    candidates = df.select(F.explode(_scored(_located(body, CANDIDATE))).alias("r")).select("r.n", "r.p_words")
-    cut = discovery_steps(candidates)
-    found = df.drop("secrets").withColumns(
-        {
-            "__assign": _located(body, ASSIGN, lambda m: F.length(F.regexp_extract(m["v"], ASSIGN, 2)) >= 6),
-            "__access": _located(body, ACCESS, lambda m: m["e"] - m["s"] >= 20),
-            "__hex": _located(body, HEX),
-            "__random": _scored(_located(body, CANDIDATE)),
-        }
-    )
+    located = df.drop("secrets").withColumns({"__base": _base_spans(body), "__runs": _located(body, CANDIDATE)})
+    scored = _scored(_outside(F.col("__runs"), F.col("__base")))
+    cut = discovery_steps(located.select(F.explode(scored).alias("r")).select("r.n", "r.p_words"))
+    found = located.withColumn("__random", scored)
 
     def discovered(r: Column) -> Column:
         least = F.lit(GRID + 1)
@@ -227,11 +257,8 @@ def find_secrets(df: DataFrame, text: str = "text") -> DataFrame:
             least = F.when(_class(r["n"]) == c, F.lit(step)).otherwise(least)
         return (_step(r["p_words"]) >= least) & (r["p_random"] >= RANDOM_P)
 
-    span = lambda k, i: F.transform(k, lambda m: F.struct(m["s"].alias("start"), F.lit(i).alias("kind_no"), m["e"].alias("end")))
-    found = found.withColumn("__base", F.concat(*(span(F.col(f"__{k}"), i) for i, k in enumerate(KINDS[:3]))))
-    free = lambda r: ~F.exists("__base", lambda b: (b["start"] < r["e"]) & (r["s"] < b["end"]))
-    added = span(F.filter("__random", lambda r: discovered(r) & free(r)), 3)
-    return found.withColumn("secrets", F.array_sort(F.concat("__base", added))).drop("__assign", "__access", "__hex", "__random", "__base")
+    added = _spans(F.filter("__random", discovered), len(KINDS) - 1)
+    return found.withColumn("secrets", F.array_sort(F.concat("__base", added))).drop("__base", "__runs", "__random")
 
 
 def redact(df: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
