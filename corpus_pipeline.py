@@ -19,13 +19,19 @@ from tessera.llm.frames import shielded
 ORACLE_SQL = None
 
 _KEY = "__key"
+_ID = "__id"
 
 
-def _key() -> Column:
+def _id() -> Column:
     """The id, or a number above all ids that follows from the text."""
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(1 << 62) + F.pmod(F.xxhash64("text"), F.lit(1 << 61)))
 
 
+def _key() -> Column:
+    """A hash of id and text: differing texts under one id are documents of their own."""
+    return F.xxhash64(_id(), "text")
+
+
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that break a quality rule go."""
     inside, restored = shielded(docs, "text")
@@ -36,7 +42,10 @@ def unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the least id stays."""
     keyed = docs.withColumn(_KEY, _key())
     found = neardup.near_duplicates(spark, keyed.select(_KEY, "text"), key=_KEY)
-    gone = keep(spark, found.filter(F.col(_KEY) != F.col("class_id")).select(_KEY).distinct(), "gone")
+    ids = docs.select(_key().alias(_KEY), _id().alias(_ID)).distinct()
+    members = keep(spark, found.select(_KEY, "class_id").distinct().join(ids, _KEY), "members")
+    least = members.groupBy("class_id").agg(F.min(F.struct(_ID, _KEY)).alias("least")).select(F.col("least")[_KEY].alias(_KEY))
+    gone = keep(spark, members.select(_KEY).join(least, _KEY, "left_anti"), "gone")
     repeated = found.groupBy(_KEY).count().filter("count > 1").select(_KEY)
     repeated = keep(spark, repeated, "repeated")
     left = keyed.join(gone, _KEY, "left_anti")

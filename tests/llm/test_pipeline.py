@@ -53,3 +53,15 @@ def test_edges(spark):
     assert got == [(0, "other", True), (5, "word0", True), (8, "third", True)]
     for _, stage in P.STAGES:
         assert stage(spark, docs.limit(0), SF).count() == 0
+
+
+def test_differing_texts_under_one_id(spark):
+    texts = {w: " ".join(f"{w}{i}" for i in range(80)) for w in ("one", "two", "three")}
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first()["text"]
+    near = texts["three"] + " end"
+    rows = [(3, texts["one"]), (5, texts["one"]), (5, texts["two"]), (5, texts["two"]), (7, texts["three"]), (7, near), (8, texts["three"]), (9, item), (9, "Some clean text.")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"], r["text"]) for r in P.unique(spark, docs, SF).collect())
+    assert got[:2] == [(3, texts["one"]), (5, texts["two"])] and got[3:] == sorted([(9, item), (9, "Some clean text.")])
+    assert got[2] in ((7, texts["three"]), (7, near))
+    assert sorted(r["text"] for r in P.clean(spark, docs.filter("doc_id = 9"), SF).collect()) == ["Some clean text."]
