@@ -456,7 +456,7 @@ def ann_recall(spark, sf):
     e = _embeddings(spark, sf).select("id", "vector")
     queries = e.filter("id % 20 = 0")
     truth, index = V.search_batch(e, queries, 10), ann.CellIndex(spark, e, 64)
-    rows = [(ef, V.recall_at_k(index.search_batch(queries, 10, ef), truth, 10)) for ef in (10, 50, 200, ann.FULL_EFFORT)]
+    rows = [(ef, V.recall_at_k(index.search_batch(queries, 10, ef), truth, 10)) for ef in (10, 50, 200, ann.EF_SEARCH, ann.FULL_EFFORT)]
     return spark.createDataFrame(rows, "ef int, recall double")
 
 

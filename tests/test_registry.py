@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 from tessera import registry
+from tessera.operators import ann, vectors
 
 from .conftest import SF01
 
@@ -39,5 +40,12 @@ def test_recall_grows_to_one(spark):
     assert r == sorted(r) and r[-1] == 1.0 and r[1] > 0.5
 
 
+def test_recall_at_default_effort(spark):
+    e = registry._embeddings(spark, SF01.replace("0.01", "0.1")).select("id", "vector")
+    queries = e.filter("id % 20 = 0")
+    found = ann.CellIndex(spark, e, 64).search_batch(queries, 10)
+    assert vectors.recall_at_k(found, vectors.search_batch(e, queries, 10), 10) >= 0.9
+
+
 def test_wal_fold_matters(spark):
     assert registry.queries()["wal_fold"](spark, SF01).count() > 0
