@@ -103,9 +103,13 @@ class Schema:
         bad += [F.when(~is_valid(payload[c.name], c.type), F.array(F.lit(c.name))).otherwise(F.array().cast("array<string>")) for c in self.scalar_columns()]
         return F.coalesce(F.concat(*bad), F.array().cast("array<string>"))
 
+    def value(self, column: ColumnDef, payload: Column) -> Column:
+        """The column's value in a map of texts."""
+        return parsed(payload[column.name], column.type)
+
     def typed(self, log: DataFrame, key: str = "key", payload: str = "payload") -> DataFrame:
         """Rows with a key and a map of texts, as rows of _key and typed columns."""
-        return log.select(F.col(key).alias("_key"), *(parsed(F.col(payload)[c.name], c.type).alias(c.name) for c in self.scalar_columns()))
+        return log.select(F.col(key).alias("_key"), *(self.value(c, F.col(payload)).alias(c.name) for c in self.scalar_columns()))
 
     def struct(self) -> T.StructType:
         fields = [T.StructField("_key", T.LongType(), False)]

@@ -6,12 +6,13 @@ decisions are recorded in the catalog and named in the reports; they never chang
 
 from __future__ import annotations
 
-import os
+import json
+import uuid
 from collections.abc import Iterable
 from dataclasses import dataclass, replace
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.predicates import Predicate, all_of, any_of, op_is_indexable
@@ -22,8 +23,9 @@ from tessera.operators.ann import EF_SEARCH, CellIndex
 from tessera.operators.vectors import check_query, normalised, search
 from tessera.plans import planner as P
 from tessera.plans.catalog import ColumnShape, IndexCatalog, IndexPlan, check_kind, measure_shape, timed
-from tessera.sources.files import write_fvecs
-from tessera.sources.store import RecordStore, atomic_write
+from tessera.sources import shared
+from tessera.sources.files import ranked, write_fvecs
+from tessera.sources.store import RecordStore
 
 KEY = "_key"
 
@@ -80,40 +82,42 @@ class WriteResult:
 class VectorColumn:
     """(_key, _vrow, embedding, live): _vrow is the place of insertion; a replaced or erased vector stays as an orphan."""
 
+    STEPS = 16  # changes that a plan may carry before the rows are written anew
+
     def __init__(self, spark, definition: ColumnDef, plan: VectorPlan = VectorPlan()):
         self.spark, self.definition, self.plan = spark, definition, plan
         self.frame = spark.createDataFrame([], f"{KEY} long, _vrow long, embedding array<float>, live boolean")
-        self.next_row, self.indexed, self.graph, self._stale = 0, False, None, True
+        self.next_row, self.indexed, self.graph, self._stale, self._steps = 0, False, None, True, 0
 
     def live(self) -> DataFrame:
         return self.frame.filter("live")
 
+    def _changed(self, frame: DataFrame) -> None:
+        self._steps, self._stale = (self._steps + 1) % self.STEPS, True
+        self.frame = frame if self._steps else shared.kept(self.spark, frame, "vectors")
+
     def attach(self, rows: DataFrame, n: int) -> None:
-        """rows: (_key, __i, embedding), __i from 0; a key that is attached already is replaced."""
+        """rows: (_key, __i, embedding), __i from 0; a key that is attached already is replaced, the last of equal keys holds."""
         new = rows.select(KEY, (F.col("__i") + self.next_row).cast("long").alias("_vrow"), F.col("embedding").cast("array<float>").alias("embedding"))
         if self.plan.metric == Metric.COSINE:
             new = new.withColumn("embedding", normalised("embedding"))
-        last = F.row_number().over(Window.partitionBy(KEY).orderBy(F.desc("_vrow"))) == 1
-        new = new.withColumn("live", last)
-        old = self.frame.join(new.select(KEY).distinct().withColumn("__new", F.lit(True)), KEY, "left")
-        self.frame = old.withColumn("live", F.col("live") & F.col("__new").isNull()).drop("__new").unionByName(new)
+        last = new.groupBy(KEY).agg(F.max("_vrow").alias("__last"))
+        old = self.frame.join(last, KEY, "left").withColumn("live", F.col("live") & F.col("__last").isNull()).drop("__last")
+        new = new.join(last, KEY).withColumn("live", F.col("_vrow") == F.col("__last")).drop("__last")
+        self._changed(old.unionByName(new))
         self.next_row += n
-        self._stale = True
 
     def kill(self, keys: DataFrame) -> None:
         gone = keys.select(KEY).distinct().withColumn("__gone", F.lit(True))
-        self.frame = self.frame.join(gone, KEY, "left").withColumn("live", F.col("live") & F.col("__gone").isNull()).drop("__gone")
-        self._stale = True
+        self._changed(self.frame.join(gone, KEY, "left").withColumn("live", F.col("live") & F.col("__gone").isNull()).drop("__gone"))
 
     def compact(self) -> int:
-        from tessera.sources.files import ranked
-
-        before = self.frame.count()
-        kept = ranked(self.live(), "_vrow", "__r").withColumn("_vrow", F.col("__r")).drop("__r")
+        """Numbers the live vectors anew, in their order, and drops the others; how many these were."""
+        kept = ranked(self.live().withColumnRenamed("_vrow", "__old"), "__old", "_vrow")
+        before, after = self.frame.count(), kept.count()
         self.frame = kept.select(KEY, "_vrow", "embedding", "live")
-        self.next_row = kept.count()
-        self._stale = True
-        return before - self.next_row
+        self.next_row, self._steps, self._stale = after, 0, True
+        return before - after
 
     def index(self) -> CellIndex | None:
         if not self.indexed or self.plan.structure != VectorStructure.GRAPH:
@@ -135,7 +139,7 @@ class Table:
         saved = self._load_schema()
         if saved is not None and not saved.same_columns(schema):
             raise ValueError("the stored schema has columns that the new one drops or retypes")
-        self.schema = schema
+        self.schema = store.schema = schema
         self.catalog = IndexCatalog.load(self._path("catalog.json"))
         self._indexed: dict[str, IndexPlan] = {}
         self._dirty: set[str] = set()
@@ -156,10 +160,7 @@ class Table:
     @staticmethod
     def _load_schema_of(store: RecordStore) -> Schema | None:
         path = f"{store.path}/schema.json"
-        if not os.path.exists(path):
-            return None
-        with open(path, encoding="utf-8") as f:
-            return Schema.parse_json(f.read())
+        return Schema.parse_json(shared.read_text(path, store.spark)) if shared.exists(path, store.spark) else None
 
     def _load_schema(self) -> Schema | None:
         return self._load_schema_of(self.store)
@@ -168,7 +169,7 @@ class Table:
 
     def frame(self) -> DataFrame:
         """All records as rows of _key and typed columns."""
-        return self.schema.typed(self.store.frame())
+        return self.store.typed(self.schema)
 
     def __len__(self) -> int:
         return len(self.store)
@@ -192,13 +193,12 @@ class Table:
         return self._written(len(records), len(last) - len(there))
 
     def put_frame(self, rows: DataFrame, key: str = "key", payload: str = "payload") -> WriteResult:
-        """A frame of (key, map of texts), checked as a whole and then written; keys must not repeat in it."""
-        bad = rows.select(key, self.schema.problems(F.col(payload)).alias("p")).filter(F.size("p") > 0).limit(1).collect()
+        """A frame of (key, map of texts), checked as a whole and then written; of rows with one key the last holds."""
+        bad = rows.select(key, self.schema.problems(F.col(payload)).alias("p")).filter(F.col(key).isNull() | (F.size("p") > 0)).limit(1).collect()
         if bad:
             raise ValueError(f"record {bad[0][0]} has unfit columns: {', '.join(bad[0][1])}")
-        n = rows.count()
-        created = rows.select(F.col(key).alias("key")).join(self.store.keys(), "key", "left_anti").count()
-        self.store.append_frame(rows.select(F.lit("put").alias("op"), F.col(key).alias("key"), F.col(payload).alias("payload")))
+        created = rows.select(F.col(key).cast("long").alias("key")).distinct().join(self.store.keys(), "key", "left_anti").count()
+        n = self.store.append_frame(rows.select(F.lit("put").alias("op"), F.col(key).alias("key"), F.col(payload).alias("payload")))
         return self._written(n, created)
 
     def _existing(self, keys) -> set[int]:
@@ -402,13 +402,11 @@ class Table:
 
     def put_vector_frame(self, column: str, rows: DataFrame, key: str, vector: str) -> int:
         """As put_vectors, for a frame; its rows are numbered in key order."""
-        from tessera.sources.files import ranked
-
         v = self._vector(column)
         if rows.filter(F.coalesce(F.size(vector) != v.definition.dim, F.lit(True))).limit(1).count():
             raise ValueError(f"vectors of {v.definition.dim} dimensions are wanted")
         numbered = ranked(rows.select(F.col(key).alias(KEY), F.col(vector).alias("embedding")), KEY, "__i")
-        return self._attach(v, numbered, rows.count())
+        return self._attach(v, numbered, numbered.count())
 
     def _attach(self, v: VectorColumn, rows: DataFrame, n: int) -> int:
         missing = rows.select(F.col(KEY).alias("key")).join(self.store.keys(), "key", "left_anti").limit(1).collect()
@@ -524,32 +522,29 @@ class Table:
     # keeping
 
     def save_vectors(self) -> None:
-        import json
-
         meta = []
-        for name, v in self._vectors.items():
-            path = self._path(f"vectors-{name}")
-            v.frame.write.mode("overwrite").parquet(path + ".new")
-            _swap(path)
-            v.frame = self.spark.read.parquet(path)
-            meta.append({"name": name, "dim": v.definition.dim, "metric": v.plan.metric.value, "structure": v.plan.structure.value, "cells": v.plan.cells, "ef_search": v.plan.ef_search, "seed": v.plan.seed, "next_row": v.next_row, "indexed": v.indexed})
-        atomic_write(self._path("vectors.json"), json.dumps({"version": 1, "vectors": meta}))
+        for k, (name, v) in enumerate(self._vectors.items()):
+            folder = f"vectors-{k}-{uuid.uuid4().hex}"
+            v.frame.write.parquet(self._path(folder))
+            v.frame = self.spark.read.parquet(self._path(folder))
+            meta.append({"name": name, "folder": folder, "dim": v.definition.dim, "metric": v.plan.metric.value, "structure": v.plan.structure.value, "cells": v.plan.cells, "ef_search": v.plan.ef_search, "seed": v.plan.seed, "next_row": v.next_row, "indexed": v.indexed})
+        shared.atomic_write(self._path("vectors.json"), json.dumps({"version": 1, "vectors": meta}), self.spark)
+        for old in shared.names(self.store.path, self.spark):
+            if old.startswith("vectors-") and old not in {m["folder"] for m in meta}:
+                shared.delete(self._path(old), self.spark)
 
     def _load_vectors(self) -> None:
-        import json
-
-        if not os.path.exists(self._path("vectors.json")):
+        if not shared.exists(self._path("vectors.json"), self.spark):
             return
-        with open(self._path("vectors.json"), encoding="utf-8") as f:
-            for m in json.load(f)["vectors"]:
-                v = self._vectors.get(m["name"])
-                if v is None:
-                    continue
-                if v.definition.dim != m["dim"]:
-                    raise ValueError(f"the stored vectors {m['name']!r} have {m['dim']} dimensions")
-                v.plan = VectorPlan(VectorStructure(m["structure"]), Metric(m["metric"]), m["cells"], m["ef_search"], m["seed"])
-                v.next_row, v.indexed = m["next_row"], m["indexed"]
-                v.frame = self.spark.read.parquet(self._path(f"vectors-{m['name']}"))
+        for m in json.loads(shared.read_text(self._path("vectors.json"), self.spark))["vectors"]:
+            v = self._vectors.get(m["name"])
+            if v is None:
+                continue
+            if v.definition.dim != m["dim"]:
+                raise ValueError(f"the stored vectors {m['name']!r} have {m['dim']} dimensions")
+            v.plan = VectorPlan(VectorStructure(m["structure"]), Metric(m["metric"]), m["cells"], m["ef_search"], m["seed"])
+            v.next_row, v.indexed = m["next_row"], m["indexed"]
+            v.frame = self.spark.read.parquet(self._path(m["folder"]))
 
     def export_fvecs(self, column: str, path: str) -> int:
         """The live vectors in row order, in the fvecs format."""
@@ -557,7 +552,7 @@ class Table:
 
     def save(self) -> None:
         """Schema, vectors and catalog."""
-        atomic_write(self._path("schema.json"), self.schema.serialize())
+        shared.atomic_write(self._path("schema.json"), self.schema.serialize(), self.spark)
         self.save_vectors()
         self.catalog.save(self._path("catalog.json"))
 
@@ -575,14 +570,3 @@ class Table:
             lost = v.live().join(rows.select(F.col("key").alias(KEY)), KEY, "left_anti").limit(1).collect()
             if lost:
                 raise ValueError(f"the vector {name!r} of {lost[0][0]} has no record")
-
-
-def _swap(path: str) -> None:
-    import shutil
-
-    old = path + ".old"
-    shutil.rmtree(old, ignore_errors=True)
-    if os.path.exists(path):
-        os.rename(path, old)
-    os.rename(path + ".new", path)
-    shutil.rmtree(old, ignore_errors=True)

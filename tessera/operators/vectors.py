@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.types import Metric
+from tessera.sources.files import ranked
 
 BATCH_ROWS = 4096
 
@@ -185,13 +186,11 @@ class FlatIndex:
         return self._append(new, len(data))
 
     def add_frame(self, vectors: DataFrame, order: str, vector: str = "vector") -> range:
-        from tessera.sources.files import ranked
-
         wrong = vectors.filter((F.size(vector) != self.dim) | F.col(vector).isNull()).limit(1).count()
         if wrong:
             raise ValueError(f"vectors of {self.dim} dimensions are wanted")
-        new = ranked(vectors.select(order, F.col(vector).alias("vector")), order, "__r").select((F.col("__r") + self._size).alias("id"), "vector")
-        return self._append(new, vectors.count())
+        new = ranked(vectors.select(F.col(order).alias("__o"), F.col(vector).alias("vector")), "__o", "__r").select((F.col("__r") + self._size).alias("id"), "vector")
+        return self._append(new, new.count())
 
     def _append(self, new: DataFrame, n: int) -> range:
         if self.metric == Metric.COSINE:

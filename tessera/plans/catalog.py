@@ -8,7 +8,6 @@ with fitted positions. Answers never depend on the choice.
 from __future__ import annotations
 
 import json
-import os
 import time
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, replace
@@ -17,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.types import IndexKind, KeyEncoding, LogicalType, type_is_ordered, type_supports_rmi
-from tessera.sources.store import atomic_write
+from tessera.sources import shared
 
 # The candidates that are offered.
 BITMAP_MAX_DISTINCT = 1024
@@ -227,15 +226,14 @@ class IndexCatalog:
         return out
 
     def save(self, path: str) -> None:
-        atomic_write(path, self.serialize())
+        shared.atomic_write(path, self.serialize())
 
     @staticmethod
     def load(path: str) -> IndexCatalog:
         """Empty if there is no file; an error if it is broken."""
-        if not os.path.exists(path):
+        if not shared.exists(path):
             return IndexCatalog()
-        with open(path, encoding="utf-8") as f:
-            blob = f.read()
+        blob = shared.read_text(path)
         try:
             return IndexCatalog.parse(blob)
         except (ValueError, KeyError, TypeError) as e:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.types import LogicalType, parsed
+from tessera.sources.shared import kept
 
 
 def _vecs_shape(path: str, size: int) -> tuple[int, int]:
@@ -118,12 +119,20 @@ def write_sosd(keys, path: str) -> None:
 
 
 def ranked(df: DataFrame, order: str, name: str = "value") -> DataFrame:
-    """df with the 0-based rank of a sort column, from counts of range partitions: no task sees all rows."""
-    parts = df.repartitionByRange(order).sortWithinPartitions(order).withColumn("__p", F.spark_partition_id())
-    counts = parts.groupBy("__p").count()
-    before = counts.select("__p", (F.sum("count").over(Window.orderBy("__p")) - F.col("count")).alias("__before"))  # a row a partition
-    inside = F.row_number().over(Window.partitionBy("__p").orderBy(order)) - 1
-    return parts.withColumn("__i", inside).join(F.broadcast(before), "__p").withColumn(name, F.col("__before") + F.col("__i")).drop("__p", "__i", "__before")
+    """df with the 0-based rank of a sort column; nulls come first, rows that tie are ranked in any order.
+
+    The rows are written once, sorted in range partitions, each row with its partition and its place there; the rows a
+    partition holds then give every rank. Nothing is partitioned twice, so bounds that are sampled anew, or partitions
+    that are merged differently, can't lose a row; ties are parted by a draw, so a hot value is no hot task.
+    """
+    draw, at, part, before = (f"{x} of {name}" for x in ("draw", "place", "part", "before"))
+    rows = df.withColumn(draw, F.rand(17)).repartitionByRange(F.col(f"`{order}`"), F.col(f"`{draw}`")).sortWithinPartitions(f"`{order}`")
+    rows = kept(df.sparkSession, rows.drop(draw).withColumn(at, F.monotonically_increasing_id()), "ranked")
+    rows = rows.withColumn(part, F.shiftright(F.col(f"`{at}`"), 33))  # the lower 33 bits count within the partition
+    counts = rows.groupBy(f"`{part}`").agg(F.count("*").alias("n"))
+    starts = counts.select(f"`{part}`", (F.sum("n").over(Window.orderBy(f"`{part}`")) - F.col("n")).alias(before))  # a row a partition
+    rank = F.col(f"`{before}`") + F.col(f"`{at}`").bitwiseAND((1 << 33) - 1)
+    return rows.join(F.broadcast(starts), part).select(*(F.col(f"`{c}`") for c in df.columns if c != name), rank.alias(name))
 
 
 def read_key_csv(spark: SparkSession, path: str, key: str | int, value: str | int, header: bool = True) -> tuple[DataFrame, int]:

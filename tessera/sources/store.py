@@ -1,43 +1,37 @@
 """Keyed records behind a change log and atomic snapshots.
 
-A store is a folder: `wal/` holds NDJSON files of entries {lsn, op, key, payload}; `snapshot-<lsn>/` is a Parquet table
-of (key, payload) with all entries up to that lsn folded in; `CURRENT` names the snapshot that counts. Reading folds the
-log's later entries over the snapshot: the latest entry of a key wins, and a delete takes it away. Lines that can't be
-parsed (torn writes) are left out; an unknown operation is an error. Writes are appended as one new log file each,
-so a batch costs one commit.
+A store is a folder: `wal/` holds NDJSON files, and folders of such files, of entries {lsn, op, key, payload};
+`snapshot-<lsn>/` is a Parquet table sorted by key, with all entries up to that lsn folded in; `CURRENT` names the
+snapshot that counts. A snapshot has the columns key and payload and, where the store knows a schema, a typed column for
+each of its scalars, so that filters and column lists reach the scan. Reading lays the log's later entries over the
+snapshot: the latest entry of a key wins, and a delete takes it away; only the log is folded, the snapshot is filtered.
+Lines that can't be parsed (torn writes) are left out; an unknown operation is an error. Writes are appended as one new
+log file or folder each, so a batch costs one commit. All files are reached by Spark's own file systems.
 """
 
 from __future__ import annotations
 
 import json
-import os
-import shutil
 import uuid
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions.schema import Record
+from tessera.functions.schema import Record, Schema
+from tessera.functions.types import SPARK_TYPES
+from tessera.sources import shared
 
 OPS = ("put", "delete", "checkpoint")
 LOG = "lsn long, op string, key long, payload map<string,string>"
 STATE = "key long, payload map<string,string>"
-
-
-def atomic_write(path: str, text: str) -> None:
-    """The whole text or nothing: written beside the path, flushed to disk, then renamed."""
-    beside = f"{path}.{uuid.uuid4().hex}.tmp"
-    with open(beside, "w", encoding="utf-8") as f:
-        f.write(text)
-        f.flush()
-        os.fsync(f.fileno())
-    os.replace(beside, path)
+TYPED = "value of "  # and the name of a scalar: its column in a snapshot
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
     """Entries of all log files under a path, torn lines left out."""
-    return spark.read.schema(LOG).option("mode", "DROPMALFORMED").json(path).filter("lsn is not null and op is not null")
+    raw = spark.read.schema(LOG).option("mode", "DROPMALFORMED").option("recursiveFileLookup", "true").json(path)
+    return raw.filter("lsn is not null and op is not null")
 
 
 def fold(log: DataFrame, state: DataFrame | None = None) -> DataFrame:
@@ -52,28 +46,21 @@ def fold(log: DataFrame, state: DataFrame | None = None) -> DataFrame:
     return last.filter("e.op = 'put'").select("key", F.coalesce("e.payload", F.create_map().cast("map<string,string>")).alias("payload"))
 
 
-def fold_by_window(log: DataFrame) -> DataFrame:
-    """The same as fold, with the rank of each entry; for logs whose payloads are too large to aggregate."""
-    rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("lsn")))
-    return log.filter("op in ('put', 'delete')").withColumn("r", rank).filter("r = 1 and op = 'put'").select("key", "payload")
-
-
 class RecordStore:
     def __init__(self, spark: SparkSession, path: str, recover: bool = True):
         self.spark, self.path = spark, path
         self.wal = f"{path}/wal"
-        os.makedirs(self.wal, exist_ok=True)
+        self.schema: Schema | None = None  # of the typed columns that the next snapshot gets
+        shared.make_folder(self.wal, spark)
         self._lsn = 0
         self._snapshot: str | None = None
         if recover:
             self._recover()
 
     def _recover(self) -> None:
-        current = f"{self.path}/CURRENT"
-        if os.path.exists(current):
-            with open(current, encoding="utf-8") as f:
-                self._snapshot = json.load(f)["snapshot"]
-            self._lsn = int(self._snapshot.rpartition("-")[2]) + 1
+        if shared.exists(f"{self.path}/CURRENT", self.spark):
+            self._snapshot = json.loads(shared.read_text(f"{self.path}/CURRENT", self.spark))["snapshot"]
+            self._lsn = self.since() + 1
         if self._log_files():
             log = read_log(self.spark, self.wal)
             unknown = log.filter(~F.col("op").isin(*OPS)).select("op").limit(1).collect()
@@ -82,7 +69,15 @@ class RecordStore:
             self._lsn = max(self._lsn, (log.agg(F.max("lsn")).first()[0] or -1) + 1)
 
     def _log_files(self) -> list[str]:
-        return [f for f in os.listdir(self.wal) if f.endswith(".json")]
+        return [f for f in shared.names(self.wal, self.spark) if f.endswith(".json")]
+
+    def lsn(self) -> int:
+        """The number that the next entry gets."""
+        return self._lsn
+
+    def since(self) -> int:
+        """The lsn of the snapshot, -1 without one: later entries are in the log."""
+        return int(self._snapshot.rpartition("-")[2]) if self._snapshot else -1
 
     def append(self, entries: Iterable[tuple[str, int | None, dict[str, str] | None]]) -> int:
         """Logs (op, key, payload) entries as one file; the first lsn."""
@@ -96,17 +91,27 @@ class RecordStore:
             lines.append(json.dumps(entry, ensure_ascii=False))
             self._lsn += 1
         if lines:
-            atomic_write(f"{self.wal}/{first:020d}.json", "\n".join(lines) + "\n")
+            shared.atomic_write(f"{self.wal}/{first:020d}.json", "\n".join(lines) + "\n", self.spark)
         return first
 
-    def append_frame(self, changes: DataFrame) -> None:
-        """Logs a frame of (op, key, payload) that is too large for the driver; order among its rows doesn't count."""
-        if changes.filter(~F.col("op").isin(*OPS)).limit(1).count():
+    def append_frame(self, changes: DataFrame) -> int:
+        """Logs a frame of (op, key, payload) that is too large for the driver; the number of entries.
+
+        Entries are numbered in the order of the frame, so of repeated keys the last holds. The files are written
+        beside the log and join it by one rename: a write that fails leaves no entry.
+        """
+        if changes.filter(~F.col("op").isin(*OPS) | F.col("op").isNull()).limit(1).count():
             raise ValueError("unknown operation")
-        first = self._lsn
-        out = changes.select(F.lit(first).cast("long").alias("lsn"), "op", "key", "payload")
-        out.write.mode("append").json(f"{self.wal}/{first:020d}.json")
-        self._lsn += 1
+        beside = f"{self.path}/staged-{uuid.uuid4().hex}"
+        numbered = changes.select((F.lit(self._lsn) + F.monotonically_increasing_id()).alias("lsn"), "op", F.col("key").cast("long").alias("key"), "payload")
+        numbered.write.json(beside)
+        n, last = read_log(self.spark, beside).agg(F.count("*"), F.max("lsn")).first()
+        if n:
+            shared.move(beside, f"{self.wal}/{self._lsn:020d}.json", self.spark)
+            self._lsn = last + 1
+        else:
+            shared.delete(beside, self.spark)
+        return n
 
     def put(self, record: Record) -> None:
         """Replaces the whole record."""
@@ -122,20 +127,52 @@ class RecordStore:
         self.append([("delete", key, None)])
         return True
 
-    def frame(self) -> DataFrame:
-        """(key, payload) of all records."""
-        state = self.spark.read.schema(STATE).parquet(f"{self.path}/{self._snapshot}") if self._snapshot else None
-        if not self._log_files():
-            return state if state is not None else self.spark.createDataFrame([], STATE)
-        since = int(self._snapshot.rpartition("-")[2]) if self._snapshot else -1
-        return fold(read_log(self.spark, self.wal).filter(F.col("lsn") > since), state)
+    def changes(self, since: int, only: Column | None = None) -> DataFrame | None:
+        """(key, payload) of the keys written after an lsn, the payload null for a deleted one; None if there are none.
+        The log must reach back to it: since() and all that came later do."""
+        if since < self.since():
+            raise ValueError(f"the log begins after {self.since()}")
+        if self._lsn <= since + 1 or not self._log_files():
+            return None
+        log = read_log(self.spark, self.wal).filter((F.col("lsn") > since) & F.col("op").isin("put", "delete"))
+        log = log if only is None else log.filter(only)
+        last = log.groupBy("key").agg(F.max_by(F.struct("op", "payload"), "lsn").alias("e"))  # combines before the shuffle
+        empty = F.create_map().cast("map<string,string>")
+        return last.select("key", F.when(F.col("e.op") == "put", F.coalesce("e.payload", empty)).alias("payload"))
+
+    def _state(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/{self._snapshot}") if self._snapshot else self.spark.createDataFrame([], STATE)
+
+    def frame(self, only: Column | None = None) -> DataFrame:
+        """(key, payload) of all records, or of those whose `key` fulfils a condition."""
+        return self._current(only, lambda state: state.select("key", "payload"), lambda new: new)
+
+    def typed(self, schema: Schema, only: Column | None = None) -> DataFrame:
+        """As frame, with _key and the schema's scalars in place of the payload: from the snapshot's typed columns where
+        it has them, else parsed."""
+
+        def stored(state: DataFrame) -> DataFrame:
+            have = dict(state.dtypes)
+            kept = lambda c: have.get(TYPED + c.name) == SPARK_TYPES[c.type].simpleString()
+            return state.select(F.col("key").alias("_key"), *(F.col(f"`{TYPED}{c.name}`").alias(c.name) if kept(c) else schema.value(c, F.col("payload")).alias(c.name) for c in schema.scalar_columns()))
+
+        return self._current(only, stored, schema.typed)
+
+    def _current(self, only: Column | None, of_state, of_log) -> DataFrame:
+        state = self._state() if only is None else self._state().filter(only)
+        new = self.changes(self.since(), only)
+        if new is None:
+            return of_state(state)
+        kept = state.join(new.select("key"), "key", "left_anti") if self._snapshot else None
+        put = of_log(new.filter("payload is not null"))
+        return put if kept is None else of_state(kept).unionByName(put)
 
     def get(self, key: int) -> Record | None:
-        row = self.frame().filter(F.col("key") == key).first()
+        row = self.frame(F.col("key") == key).first()
         return Record(row["key"], dict(row["payload"])) if row else None
 
     def contains(self, key: int) -> bool:
-        return self.frame().filter(F.col("key") == key).limit(1).count() > 0
+        return self.frame(F.col("key") == key).limit(1).count() > 0
 
     __contains__ = contains
 
@@ -156,14 +193,16 @@ class RecordStore:
         """
         name, old = f"snapshot-{self._lsn:020d}", self._snapshot
         self.append([("checkpoint", None, None)])
-        self.frame().repartitionByRange("key").sortWithinPartitions("key").write.mode("overwrite").parquet(f"{self.path}/{name}")
-        atomic_write(f"{self.path}/CURRENT", json.dumps({"snapshot": name}))
+        rows = self.frame()
+        if self.schema is not None:
+            rows = rows.select("*", *(self.schema.value(c, F.col("payload")).alias(TYPED + c.name) for c in self.schema.scalar_columns()))
+        rows.repartitionByRange("key").sortWithinPartitions("key").write.mode("overwrite").parquet(f"{self.path}/{name}")
+        shared.atomic_write(f"{self.path}/CURRENT", json.dumps({"snapshot": name}), self.spark)
         self._snapshot = name
-        for f in os.listdir(self.wal):
-            target = f"{self.wal}/{f}"
-            shutil.rmtree(target) if os.path.isdir(target) else os.remove(target)
+        for f in shared.names(self.wal, self.spark):
+            shared.delete(f"{self.wal}/{f}", self.spark)
         if old:
-            shutil.rmtree(f"{self.path}/{old}", ignore_errors=True)
+            shared.delete(f"{self.path}/{old}", self.spark)
 
     def close(self) -> None:
         """Nothing is held open."""

@@ -8,33 +8,31 @@ after a failure changes nothing.
 from __future__ import annotations
 
 import json
-import os
-import shutil
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tessera.sources.store import LOG, STATE, atomic_write
+from tessera.sources import shared
+from tessera.sources.store import LOG, STATE
 
 VERSION = STATE + ", lsn long, live boolean"
 
 
 def read_changes(spark: SparkSession, folder: str, files_a_batch: int = 1000) -> DataFrame:
     """A stream of the log's entries, torn lines left out."""
-    raw = spark.readStream.schema(LOG).option("mode", "DROPMALFORMED").option("maxFilesPerTrigger", files_a_batch).json(folder)
+    raw = spark.readStream.schema(LOG).option("mode", "DROPMALFORMED").option("maxFilesPerTrigger", files_a_batch).option("recursiveFileLookup", "true").json(folder)
     return raw.filter("lsn is not null and op in ('put', 'delete') and key is not null")
 
 
 class FollowedTable:
     def __init__(self, spark: SparkSession, path: str, keep_versions: int = 2):
         self.spark, self.path, self.keep_versions = spark, path, keep_versions
-        os.makedirs(path, exist_ok=True)
+        shared.make_folder(path, spark)
 
     def _current(self) -> dict:
         try:
-            with open(f"{self.path}/CURRENT", encoding="utf-8") as f:
-                return json.load(f)
+            return json.loads(shared.read_text(f"{self.path}/CURRENT", self.spark))
         except FileNotFoundError:
             return {"batch": -1, "version": None}
 
@@ -54,9 +52,9 @@ class FollowedTable:
         last = self._versions().unionByName(new).groupBy("key").agg(F.max_by(F.struct("payload", "lsn", "live"), "lsn").alias("e"))
         version = f"version-{batch_id:012d}"
         last.select("key", "e.payload", "e.lsn", "e.live").write.mode("overwrite").parquet(f"{self.path}/{version}")
-        atomic_write(f"{self.path}/CURRENT", json.dumps({"batch": batch_id, "version": version}))
-        for old in sorted(v for v in os.listdir(self.path) if v.startswith("version-"))[: -self.keep_versions]:
-            shutil.rmtree(f"{self.path}/{old}", ignore_errors=True)
+        shared.atomic_write(f"{self.path}/CURRENT", json.dumps({"batch": batch_id, "version": version}), self.spark)
+        for old in sorted(v for v in shared.names(self.path, self.spark) if v.startswith("version-"))[: -self.keep_versions]:
+            shared.delete(f"{self.path}/{old}", self.spark)
 
     def follow(self, folder: str, checkpoint: str, once: bool = True) -> StreamingQuery:
         """Starts the stream; once: takes what is there now and ends."""
