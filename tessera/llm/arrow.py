@@ -1,10 +1,8 @@
-"""Texts in Arrow batches: slices of bounded bytes, words by their bytes, and the shared folder."""
+"""Texts in Arrow batches: slices of bounded bytes, and words by their bytes."""
 
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,18 +24,6 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS))
 
 
-def shared_folder(spark: SparkSession, what: str) -> str:
-    """A new path in the folder that driver and executors share."""
-    sc = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc._jsc.sc().getCheckpointDir().getOrElse(None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="tessera-")
-        sc.setCheckpointDir(root)
-    elif sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"
-
-
 def release() -> None:
     """Gives memory that is free in this worker back to the system: a worker outlives its task."""
     pa.default_memory_pool().release_unused()

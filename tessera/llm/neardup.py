@@ -1,11 +1,15 @@
 """N-gram Jaccard join: MinHash banding for candidates, full n-gram sets for the verdict.
 
-Documents with equal sets of word n-grams are one node. Bands of a node's MinHash signature are shuffled by their
-hash; nodes that share a band are tied to the least of them, so a bucket of any size gives as many ties as it has
-members. The components of these ties hold every candidate pair. A component is dealt into blocks of about BLOCK
-nodes, and each pair of blocks is one group of bounded size: there the full sets are intersected as columns of a
-0/1 matrix, and for every node only the number of its links and its least partner come out. No list of pairs is ever
-made, and no bucket, partner list or component is cut short.
+Documents with equal sets of word n-grams are one node (told apart by 128 bits of hash). Bands of a node's MinHash
+signature are shuffled by their hash; nodes that share a band are tied to the least of them, so a bucket of any size
+gives as many ties as it has members. Components of these ties that fit into one block of about BLOCK nodes are
+verified as one group. Larger ones may be chains of pairs that are only half alike, so there only nodes that share a
+band are compared: a bucket that fits into a block is one group, in which a pair counts if the band is the first one
+it shares; buckets of more nodes are joined where they overlap and dealt into blocks, each pair of blocks one group.
+
+A group is of bounded size: its n-gram sets (hashes of 64 bits) are intersected as columns of a 0/1 matrix, and for
+every node only the number of its links and its least partner come out. No list of pairs is ever made, and no bucket,
+partner list or component is cut short. Every pair is verified in one group only.
 
 Numbers of bands and rows follow from the wanted recall: `rows` hashes must agree in a band, and there are as many
 bands as give a pair at the threshold that chance of meeting.
@@ -22,13 +26,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.arrow import Words, mix, release, slices, small_batches, windows
-from tessera.llm.components import connected_components, keep
+from tessera.llm.components import connected_components, looked_up
+from tessera.sources.shared import forget, kept
 
 N = 5
 THRESHOLD = 0.8
 RECALL = 0.9995
 ROWS = 8
 BLOCK = 256
+WEIGHT = 1 << 14  # a set of more n-grams than this counts as several nodes of a block
 COLUMNS = 4096
 
 
@@ -57,14 +63,14 @@ def shingles(texts: list[str], n: int = N) -> tuple[np.ndarray, np.ndarray]:
     return value, np.searchsorted(doc, np.arange(len(texts) + 1))
 
 
-def set_hashes(value: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """One hash for each set of n-grams, whatever their order; zero for an empty one."""
+def set_hashes(value: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes for each set of n-grams, whatever their order; zeros for an empty one."""
     size = np.diff(first)
     has = np.flatnonzero(size)
-    out = np.zeros(len(size), np.uint64)
-    if len(has):
-        out[has] = mix(np.add.reduceat(mix(value ^ np.uint64(0x5851F42D4C957F2D)), first[has]) + size[has].astype(np.uint64))
-    return out
+    out = np.zeros((2, len(size)), np.uint64)
+    for k, salt in enumerate((0x5851F42D4C957F2D, 0x14057B7EF767814F) if len(has) else ()):
+        out[k, has] = mix(np.add.reduceat(mix(value ^ np.uint64(salt)), first[has]) + size[has].astype(np.uint64))
+    return out[0], out[1]
 
 
 def band_hashes(value: np.ndarray, first: np.ndarray, bands: int, rows: int) -> np.ndarray:
@@ -83,18 +89,20 @@ def band_hashes(value: np.ndarray, first: np.ndarray, bands: int, rows: int) ->
 
 
 def signed(docs: DataFrame, key: str, text: str, n: int, bands: int, rows: int) -> DataFrame:
-    """k (the key), node (hash of the set; null without n-grams), bands, and own (the text, if the key is null)."""
+    """k (the key), h1 and h2 (hashes of the set; null without n-grams), bands, and grams (the set, 8 bytes each)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in slices(batches, "t"):
             value, first = shingles(texts, n)
-            sets, found = set_hashes(value, first), band_hashes(value, first, bands, rows)
+            empty = np.diff(first) == 0
+            one, two = (pa.array(h.view(np.int64), mask=empty) for h in set_hashes(value, first))
+            found = band_hashes(value, first, bands, rows)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * bands), pa.array(found.view(np.int64).ravel()))
-            own = pa.array([None if k else t for k, t in zip(part.column(0).is_valid().to_pylist(), texts, strict=True)], pa.string())
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets.view(np.int64), mask=np.diff(first) == 0), lists, own], ["k", "node", "bands", "own"])
+            grams = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(first.astype(np.int64) * 8), pa.py_buffer(value.tobytes())]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column(0), one, two, lists, grams], ["k", "h1", "h2", "bands", "grams"])
 
-    thin = docs.select(docs[key].cast("long").alias("k"), docs[text].alias("t"))
-    return thin.mapInArrow(run, "k long, node long, bands array<long>, own string")
+    thin = docs.select(docs[key].alias("k"), docs[text].alias("t"))
+    return thin.mapInArrow(run, f"k {thin.schema['k'].dataType.simpleString()}, h1 long, h2 long, bands array<long>, grams binary")
 
 
 def _groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.Table]:
@@ -135,78 +143,137 @@ def _overlaps(value: np.ndarray, first: np.ndarray, left: np.ndarray, right: np.
     return out
 
 
-def _linked(group: pa.Table, n: int, threshold: float) -> list[tuple[int, int, int]]:
-    """(node, links to rows of other nodes, least node that is tied to it here) of a pair of blocks."""
-    value, first = shingles(group.column("t").to_pylist(), n)
-    node = group.column("node").to_numpy()
-    right_text = np.flatnonzero(set_hashes(value, first).view(np.int64) == node)  # a repeated key brings other texts too
-    node, at = np.unique(node[right_text], return_index=True)
-    at = right_text[at]
-    block, copies = group.column("block").to_numpy()[at], group.column("copies").to_numpy()[at]
-    size = np.diff(first)[at]
-    value = np.concatenate([np.zeros(0, np.uint64), *(value[first[r] : first[r + 1]] for r in at)])
-    i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
+GROUP = ["band", "g", "i", "j"]
+
+
+def _linked(group: pa.Table, threshold: float) -> list[tuple[int, int, int]]:
+    """(node, links to rows of other nodes, least node that is tied to it here) of a group."""
+    band, i, j = (group.column(c)[0].as_py() for c in ("band", "i", "j"))
+    node, block, copies = (group.column(c).to_numpy() for c in ("node", "block", "copies"))
+    sets = group.column("grams").to_pylist()
+    value = np.frombuffer(b"".join(sets), np.uint64)
+    size = np.array([len(x) // 8 for x in sets], np.int64)
     left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
     common = _overlaps(value, np.concatenate([[0], np.cumsum(size)]), left, right)
-    linked = np.zeros((len(node), len(node)), bool)
     # sizes of sets are far below 2**24, so 32-bit floats hold them exactly
-    linked[np.ix_(left, right)] = common >= threshold * (size[left][:, None] + size[right][None, :] - common) - 1e-6
+    near = common >= threshold * (size[left][:, None] + size[right][None, :] - common) - 1e-6
+    if band >= 0:  # a bucket: the pairs that met in no earlier band, and in no larger bucket
+        bands = np.array(group.column("bands").to_pylist(), np.int64)
+        for earlier in range(band):
+            near &= bands[:, earlier][:, None] != bands[:, earlier][None, :]
+        large = group.column("large").to_numpy()
+        near &= (large[:, None] != large[None, :]) | (large[:, None] < 0)
+    linked = np.zeros((len(node), len(node)), bool)
+    linked[np.ix_(left, right)] = near
     linked |= linked.T
     np.fill_diagonal(linked, False)
-    tied, before = np.arange(len(node)), None
+    tied, before = node.copy(), None
     while before is None or (tied != before).any():
         before = tied
-        tied = np.minimum(tied, np.where(linked, tied[None, :], len(node)).min(axis=1, initial=len(node)))
-    return [(int(node[r]), int(k), int(node[tied[r]])) for r, k in enumerate(linked @ copies) if k]
+        tied = np.minimum(tied, np.where(linked, tied[None, :], np.iinfo(np.int64).max).min(axis=1, initial=np.iinfo(np.int64).max))
+    return [(int(node[r]), int(k), int(tied[r])) for r, k in enumerate(linked @ copies) if k]
+
+
+def _ties(buckets: DataFrame, total: int) -> DataFrame:
+    """(node, least) of the nodes that share a bucket (node, band, c: its members, least: the least of them)."""
+    least = buckets.groupBy("band").agg(F.min("node").alias("least"), F.count("*").alias("c")).filter("c > 1")
+    return looked_up(buckets, least, "band", "c", total).filter("node <> least").select("node", "least").distinct()
+
+
+def _blocks(members: DataFrame, label: str, total: int) -> DataFrame:
+    """members (node, label, w), with `blocks`: into how many their component is dealt."""
+    sizes = members.groupBy(label).agg(F.count("*").alias("n"), F.ceil(F.sum("w") / BLOCK).cast("int").alias("blocks"))
+    return looked_up(members, sizes, label, "n", total).drop("n")
+
+
+def _groups_of(spark: SparkSession, signs: DataFrame, nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """(the groups to verify: GROUP, and of each of their nodes block, node, copies, grams, bands, large; tables they are read from)."""
+    weighed = nodes.select("node", "w")
+    buckets = nodes.select("node", F.explode("bands").alias("band"))
+    found = connected_components(spark, _ties(buckets, buckets.count()))
+    found = kept(spark, _blocks(found.join(weighed, "node"), "label", found.count()), "candidates")
+    sets = found.join(nodes.select("node", "copies"), "node").join(signs.select(F.col("uid").alias("node"), "grams", "bands"), "node")
+    sets = kept(spark, sets, "sets")
+
+    def dealt(rows: DataFrame, label: str) -> DataFrame:
+        """Every pair of blocks of a component."""
+        rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, F.col("block")).alias("i"), F.greatest(x, F.col("block")).alias("j")))
+        rows = rows.withColumn("p", F.explode(pair))
+        none = F.lit(None).cast("array<long>")
+        return rows.select(F.lit(-1).alias("band"), F.col(label).alias("g"), "p.i", "p.j", "block", "node", "copies", "grams", none.alias("bands"), F.lit(-1).cast("long").alias("large"))
+
+    groups = dealt(sets.filter("blocks = 1"), "label")
+    large = found.filter("blocks > 1")
+    n = large.count()
+    if not n:
+        return groups, [found, sets]
+    # components of more than a block: their buckets
+    inside = sets.filter("blocks > 1").select("node", "w", F.posexplode("bands").alias("pos", "band"))
+    mark = F.xxhash64("node").cast("decimal(38,0)")
+    shapes = inside.groupBy("band").agg(F.first("pos").alias("pos"), F.count("*").alias("c"), F.sum("w").alias("w"), F.sum(mark).alias("m"), F.sum(F.xxhash64("node", F.lit(1)).cast("decimal(38,0)")).alias("m2"))
+    shapes = kept(spark, shapes.filter("c > 1"), "buckets")
+    wide = looked_up(inside.drop("w", "pos"), shapes.filter(F.col("w") > BLOCK).select("band", "c"), "band", "c", n * 64).select("node", "band")
+    wide = kept(spark, wide, "wide")
+    joined = connected_components(spark, _ties(wide, wide.count()))
+    joined = kept(spark, _blocks(joined.join(weighed, "node"), "label", joined.count()).select("node", F.col("label").alias("large"), "blocks"), "large")
+    groups = groups.unionByName(dealt(sets.drop("blocks", "label").join(joined, "node"), "large"))
+    # of buckets with the same members the one of the first band is enough
+    few = shapes.filter(F.col("w") <= BLOCK).groupBy("c", "m", "m2").agg(F.min(F.struct("pos", "band")).alias("b")).select("b.band", "c")
+    narrow = looked_up(inside.drop("w"), few, "band", "c", n * 64).select("node", F.col("pos").alias("band"), F.col("band").alias("g"))
+    own = sets.drop("blocks", "label").join(joined.drop("blocks"), "node", "left")
+    none = F.lit(0).cast("int")
+    narrow = narrow.join(own, "node").select("band", "g", none.alias("i"), none.alias("j"), none.alias("block"), "node", "copies", "grams", "bands", F.coalesce("large", F.lit(-1)).alias("large"))
+    return groups.unionByName(narrow), [found, sets, shapes, wide, joined]
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = N, threshold: float = THRESHOLD, rows: int = ROWS, recall: float = RECALL) -> DataFrame:
-    """key, class_id, n_links and set_id of every row.
+    """key, class_id, n_links and set_id of every row; the key may be of any type that has an order.
 
     class_id: the least key of the rows joined by links of Jaccard >= threshold, directly or through others; n_links:
     other rows at that similarity, those with the same set included; set_id: the least key of those with the same set.
     A null, empty or blank text has no n-grams and no links, and is its own class. Rows with a null key take part and
-    come back with a null key (and a null class, if it has no other key). Repeated rows are copies of each other. The
-    key should tell rows apart: differing texts under one key stay correct, but cost the square of their number.
-    No rows give no rows; other columns are left out.
+    come back with a null key (and a null class, if it has no other key). Repeated rows, and differing texts under one
+    key, are rows of their own. No rows give no rows; other columns are left out. The result is written to the shared
+    folder, what was written on the way there is deleted.
     """
     small_batches(spark)
     bands = bands_for(threshold, rows, recall)
-    signs = keep(spark, signed(docs, key, text, n, bands, rows), "signed")
-    nodes = signs.filter("node is not null").groupBy("node")
-    nodes = keep(spark, nodes.agg(F.min("k").alias("set_id"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.min("own").alias("own")), "nodes")
-    buckets = nodes.select("node", F.explode("bands").alias("band"))
-    least = buckets.groupBy("band").agg(F.min("node").alias("least"), F.count("*").alias("c")).filter("c > 1")
-    ties = buckets.join(least, "band").filter("node <> least").select("node", "least").distinct()
-    found = keep(spark, connected_components(spark, ties), "candidates")
-
-    sizes = found.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    members = found.join(sizes, "label").join(nodes.drop("bands"), "node")
-    members = members.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    texts = docs.select(docs[key].cast("long").alias("set_id"), docs[text].alias("t"))
-    members = members.filter("set_id is not null").join(texts, "set_id").drop("own").unionByName(members.filter("set_id is null").withColumnRenamed("own", "t"))
-    pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, F.col("block")).alias("i"), F.greatest(x, F.col("block")).alias("j")))
-    paired = members.withColumn("p", F.explode(pair)).select("label", "p.i", "p.j", "node", "block", "copies", "t")
-    paired = paired.repartition("label", "i", "j").sortWithinPartitions("label", "i", "j")
+    signs = kept(spark, signed(docs, key, text, n, bands, rows).withColumn("uid", F.monotonically_increasing_id()), "signed")
+    total = signs.count()
+    nodes = signs.filter("h1 is not null").groupBy("h1", "h2")
+    weight = F.ceil((F.length("grams") + 1) / (8 * WEIGHT))
+    nodes = nodes.agg(F.min("k").alias("set_id"), F.count("*").alias("copies"), F.min("uid").alias("node"), F.first("bands").alias("bands"), F.max(weight).alias("w"))
+    nodes = kept(spark, nodes, "nodes")
+    groups, tables = _groups_of(spark, signs, nodes)
+    groups = groups.repartition(*GROUP).sortWithinPartitions(*GROUP)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _groups(batches, ["label", "i", "j"]):
-            if out := _linked(group, n, threshold):
+        for group in _groups(batches, GROUP):
+            if out := _linked(group, threshold):
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["node", "links", "tied"])
 
-    links = keep(spark, paired.mapInArrow(run, "node long, links long, tied long"), "links")
+    links = kept(spark, groups.mapInArrow(run, "node long, links long, tied long"), "links")
     classes = connected_components(spark, links.select("node", "tied"))
     counts = links.groupBy("node").agg(F.sum("links").alias("links"))
-    known = nodes.select("node", "set_id", "copies").join(classes.join(counts, "node", "left"), "node", "left")
-    names = known.filter("label is not null").groupBy("label").agg(F.min("set_id").alias("class_id"))
-    known = known.join(names, "label", "left")
-    out = signs.select("k", "node").join(known, "node", "left")
-    return out.select(
+    known = nodes.select("h1", "h2", "node", "set_id", "copies").join(classes.join(counts, "node", "left"), "node", "left")
+    names = known.filter("label is not null").groupBy("label").agg(F.min("set_id").alias("class_id"), F.count("*").alias("m"))
+    grouped = looked_up(known.filter("label is not null"), names, "label", "m", total).drop("m")
+    known = grouped.unionByName(known.filter("label is null").withColumn("class_id", F.lit(None).cast(signs.schema["k"].dataType)))
+    known = kept(spark, known.select("h1", "h2", "class_id", "links", "copies", "set_id"), "known")
+    rows_of = signs.select("k", "h1", "h2")
+    out = looked_up(rows_of, known, ["h1", "h2"], "copies", total)
+    alone = rows_of.filter("h1 is null").select(F.col("k").alias(key), F.col("k").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("k").alias("set_id"))
+    out = out.select(
         F.col("k").alias(key),
         F.coalesce("class_id", "set_id", "k").alias("class_id"),
-        (F.coalesce("links", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).cast("long").alias("n_links"),
+        (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"),
         F.coalesce("set_id", "k").alias("set_id"),
     )
+    out = kept(spark, out.unionByName(alone), "classes")
+    for done in (signs, nodes, links, classes, known, *tables):
+        forget(done)
+    return out
 
 
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

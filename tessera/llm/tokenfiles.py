@@ -31,7 +31,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.arrow import shared_folder, slices, small_batches
+from tessera.llm.arrow import slices, small_batches
+from tessera.sources.shared import shared_folder
 
 MAGIC = b"TEF1"
 HEAD = struct.Struct("<4sBBIQq")
