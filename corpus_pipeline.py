@@ -11,25 +11,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontam, neardup, pieces, quality, secrets
-from tessera.llm.arrow import shared_folder
-from tessera.llm.components import keep
 from tessera.llm.frames import shielded
+from tessera.sources.shared import delete, kept, shared_folder
 
 #: The last stage can't be said in SQL; tests/llm/test_pipeline.py holds every stage against a plain version.
 ORACLE_SQL = None
 
 _KEY = "__key"
-_ID = "__id"
-
-
-def _id() -> Column:
-    """The id, or a number above all ids that follows from the text."""
-    return F.coalesce(F.col("doc_id").cast("long"), F.lit(1 << 62) + F.pmod(F.xxhash64("text"), F.lit(1 << 61)))
 
 
 def _key() -> Column:
-    """A hash of id and text: differing texts under one id are documents of their own."""
-    return F.xxhash64(_id(), "text")
+    """The id and a 128-bit digest of the text, which tell documents apart: differing texts under one id are documents
+    of their own. Without an id, a number above all ids that follows from the text takes its place."""
+    own = F.coalesce(F.col("doc_id").cast("long"), F.lit(1 << 62) + F.pmod(F.xxhash64("text"), F.lit(1 << 61)))
+    return F.struct(own.alias("id"), F.md5(F.coalesce("text", F.lit(""))).alias("digest"))
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,19 +34,14 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the least id stays."""
+    """Of each group of near duplicates the document with the least id stays, once if it is repeated."""
     keyed = docs.withColumn(_KEY, _key())
     found = neardup.near_duplicates(spark, keyed.select(_KEY, "text"), key=_KEY)
-    ids = docs.select(_key().alias(_KEY), _id().alias(_ID)).distinct()
-    members = keep(spark, found.select(_KEY, "class_id").distinct().join(ids, _KEY), "members")
-    least = members.groupBy("class_id").agg(F.min(F.struct(_ID, _KEY)).alias("least")).select(F.col("least")[_KEY].alias(_KEY))
-    gone = keep(spark, members.select(_KEY).join(least, _KEY, "left_anti"), "gone")
-    repeated = found.groupBy(_KEY).count().filter("count > 1").select(_KEY)
-    repeated = keep(spark, repeated, "repeated")
+    gone = kept(spark, found.filter(F.col(_KEY) != F.col("class_id")).select(_KEY).distinct(), "gone")
+    repeated = kept(spark, found.filter(F.col(_KEY) == F.col("class_id")).groupBy(_KEY).count().filter("count > 1").select(_KEY), "repeated")
     left = keyed.join(gone, _KEY, "left_anti")
     once = left.join(repeated, _KEY, "left_anti")
-    # only rows whose key occurs again are looked at more than once
-    again = left.join(repeated, _KEY, "left_semi").dropDuplicates([_KEY, "text"])
+    again = left.join(repeated, _KEY, "left_semi").dropDuplicates([_KEY])  # combines before the shuffle
     return once.unionByName(again).select(docs.columns)
 
 
@@ -60,7 +50,7 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     keyed = docs.withColumn(_KEY, _key())
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     leaked = decontam.leaks(spark, keyed.select(_KEY, "text"), items.select("item_id", "text"), key=_KEY)
-    return keyed.join(keep(spark, leaked.select(_KEY).distinct(), "leaked"), _KEY, "left_anti").select(docs.columns)
+    return keyed.join(kept(spark, leaked.select(_KEY).distinct(), "leaked"), _KEY, "left_anti").select(docs.columns)
 
 
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -89,9 +79,12 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, one after another, over the table of documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         path = shared_folder(spark, name.replace(" ", "-"))
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            delete(before, spark)
+        before = path
     return docs
