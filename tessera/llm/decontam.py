@@ -21,13 +21,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.arrow import Words, mix, slices, small_batches
+from tessera.sources.shared import kept
 
 WINDOW = 13
 NEED = 10
 # The masks; 1 is a position that counts.
 MASKS = ("111111", "11101011", "1100100111", "1011000111", "1110001011", "11100101001")
 WEIGHT = 6
-TABLE_BITS = 26  # the bit table takes 8 MB, however many items there are
+TABLE_BITS = (20, 30)  # the bit table has 2**20 to 2**30 bits (128 MB), about 16 for each seed of the items
 AROUND = WINDOW - 1
 
 _MARKS = re.compile(r"[\W_]+")
@@ -51,18 +52,26 @@ def _seeds(words: Words, h: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray
         yield at, mix(value)
 
 
-def _bits(value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two places in the bit table."""
-    return (value >> np.uint64(64 - TABLE_BITS)).astype(np.int64), (value & np.uint64((1 << TABLE_BITS) - 1)).astype(np.int64)
+def _bits(value: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two places in the bit table of 2**size bits."""
+    return (value >> np.uint64(64 - size)).astype(np.int64), (value & np.uint64((1 << size) - 1)).astype(np.int64)
 
 
-def _contexts(words: Words, h: np.ndarray, at: np.ndarray, nothing: int) -> pa.Array:
+def _contexts(words: Words, h: np.ndarray, at: np.ndarray, nothing: int) -> np.ndarray:
     """The words from AROUND before to AROUND behind each place, as 32-bit hashes; `nothing` beyond the text's ends."""
     small = np.append((h >> np.uint64(32)).astype(np.uint32) | np.uint32(2), np.uint32(nothing))
     place = at[:, None] + np.arange(-AROUND, AROUND + 1)
     first, end = words.first[:-1][words.doc[at]], words.first[1:][words.doc[at]]
-    place = np.where((place >= first[:, None]) & (place < end[:, None]), place, len(h))
-    return pa.array([r.tobytes() for r in small[place]], pa.binary())
+    return small[np.where((place >= first[:, None]) & (place < end[:, None]), place, len(h))]
+
+
+def _binary(rows: np.ndarray) -> pa.Array:
+    return pa.array([r.tobytes() for r in rows], pa.binary())
+
+
+def _once(doc: np.ndarray, value: np.ndarray, around: np.ndarray) -> np.ndarray:
+    """Places of the first of equal rows: a passage that a text repeats is looked up once."""
+    return np.unique(np.concatenate([doc[:, None].astype(np.uint64), value[:, None], around], axis=1), axis=0, return_index=True)[1]
 
 
 def _item_seeds(items: DataFrame, key: str, text: str) -> DataFrame:
@@ -73,37 +82,40 @@ def _item_seeds(items: DataFrame, key: str, text: str) -> DataFrame:
             for at, value in _seeds(words, h):
                 doc = words.doc[at]
                 keys = part.column(0).take(pa.array(doc))
-                yield pa.RecordBatch.from_arrays([keys, pa.array(np.minimum(n[doc], NEED)), pa.array(value.view(np.int64)), _contexts(words, h, at, 0)], ["item", "need", "seed", "item_words"])
+                yield pa.RecordBatch.from_arrays([keys, pa.array(np.minimum(n[doc], NEED)), pa.array(value.view(np.int64)), _binary(_contexts(words, h, at, 0))], ["item", "need", "seed", "item_words"])
 
     thin = items.select(items[key].cast("long").alias("k"), items[text].alias("t"))
     return thin.mapInArrow(run, "item long, need long, seed long, item_words binary").distinct()
 
 
-def _bit_table(spark: SparkSession, seeds: DataFrame) -> np.ndarray:
-    """The bits of all seeds; what comes to the driver is 4 KB for each of 2**(TABLE_BITS - 15) stretches at most."""
+def _bit_table(spark: SparkSession, seeds: DataFrame) -> tuple[np.ndarray, int]:
+    """(the bits of all seeds, how many bits there are as a power of two); what comes to the driver is 4 KB for each of
+    2**(bits - 15) stretches at most."""
+    size = min(max((16 * seeds.count()).bit_length(), TABLE_BITS[0]), TABLE_BITS[1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             value = batch.column(0).to_numpy().view(np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(_bits(value)))], ["bit"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(_bits(value, size)))], ["bit"])
 
     bits = seeds.select("seed").mapInArrow(run, "bit long")
     parts = bits.groupBy(F.shiftright("bit", 15).alias("part")).agg(F.bitmap_construct_agg(F.col("bit") % (1 << 15)).alias("map"))
-    table = np.zeros((1 << TABLE_BITS) // 8, np.uint8)
+    table = np.zeros((1 << size) // 8, np.uint8)
     for part, found in parts.toLocalIterator():
         table[part * 4096 : (part + 1) * 4096] = np.frombuffer(found, np.uint8)
-    return table
+    return table, size
 
 
 def leaks(spark: SparkSession, docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
     """key, item_key and `matched` (agreeing words of the best window, WINDOW at most) of every leak, once a pair.
 
-    Null and empty texts leak nothing. Rows with the same key count as one document, null keys too; repeated items
-    with one key count as one. No documents or no items give no rows; other columns are left out.
+    Null and empty texts leak nothing. Rows with the same key (of any type) count as one document, null keys too;
+    repeated items with one key count as one. No documents or no items give no rows; other columns are left out.
     """
     small_batches(spark)
-    seeds = _item_seeds(items, item_key, item_text)
-    table = spark.sparkContext.broadcast(_bit_table(spark, seeds))
+    seeds = kept(spark, _item_seeds(items, item_key, item_text), "seeds")
+    bits, size = _bit_table(spark, seeds)
+    table = spark.sparkContext.broadcast(bits)  # 128 MB at most
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = table.value
@@ -111,12 +123,13 @@ def leaks(spark: SparkSession, docs: DataFrame, items: DataFrame, key: str = "do
             words, h = _words(texts)
             for at, value in _seeds(words, h):
                 maybe = np.ones(len(at), bool)
-                for bit in _bits(value):
+                for bit in _bits(value, size):
                     maybe[maybe] = (known[bit[maybe] >> 3] >> (bit[maybe] & 7).astype(np.uint8)) & 1 > 0
                 at, value = at[maybe], value[maybe]
                 if len(at):
-                    keys = part.column(0).take(pa.array(words.doc[at]))
-                    yield pa.RecordBatch.from_arrays([keys, pa.array(value.view(np.int64)), _contexts(words, h, at, 1)], ["doc", "seed", "doc_words"])
+                    doc, around = words.doc[at], _contexts(words, h, at, 1)
+                    one = _once(doc, value, around)
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc[one])), pa.array(value[one].view(np.int64)), _binary(around[one])], ["doc", "seed", "doc_words"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -129,9 +142,10 @@ def leaks(spark: SparkSession, docs: DataFrame, items: DataFrame, key: str = "do
             good = pa.array(np.flatnonzero((best >= need) & (need >= WEIGHT)))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(good), batch.column(1).take(good), pa.array(best.astype(np.int64)).take(good)], ["doc", "item", "matched"])
 
-    thin = docs.select(docs[key].cast("long").alias("k"), docs[text].alias("t"))
-    found = thin.mapInArrow(hits, "doc long, seed long, doc_words binary").join(seeds, "seed").select("doc", "item", "need", "doc_words", "item_words")
-    sure = found.mapInArrow(verify, "doc long, item long, matched long")
+    thin = docs.select(docs[key].alias("k"), docs[text].alias("t"))
+    kind = thin.schema["k"].dataType.simpleString()
+    found = thin.mapInArrow(hits, f"doc {kind}, seed long, doc_words binary").join(seeds, "seed").select("doc", "item", "need", "doc_words", "item_words")
+    sure = found.mapInArrow(verify, f"doc {kind}, item long, matched long")
     return sure.groupBy(F.col("doc").alias(key), F.col("item").alias(item_key)).agg(F.max("matched").alias("matched"))
 
 

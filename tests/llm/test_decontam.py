@@ -51,3 +51,18 @@ def test_substitutions_and_edges(spark):
     it = spark.createDataFrame([(k, t, 1) for k, t in items], "item_id long, text string, doc_id int")
     assert sorted((tuple(r) for r in D.leaks(spark, df, it).collect()), key=repr) == brute(docs, items)
     assert D.leaks(spark, df.limit(0), it).count() == 0 and D.leaks(spark, df, it.limit(0)).count() == 0
+
+
+def test_a_passage_repeated_a_hundred_thousand_times(spark):
+    """Ten megabytes of one passage: equal surroundings are looked up once."""
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu"
+    df = spark.createDataFrame([(1, f"{item} " * 130_000), (2, "xi omicron " * 500_000)], "doc_id long, text string")
+    it = spark.createDataFrame([(5, item)], "item_id long, text string")
+    assert [tuple(r) for r in D.leaks(spark, df, it).collect()] == [(1, 5, 13)]
+
+
+def test_keys_of_any_type(spark):
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu"
+    df = spark.createDataFrame([(1, "x", item), (1, "y", "clean"), (None, "z", item)], "a long, b string, text string").selectExpr("struct(a, b) as id", "text")
+    it = spark.createDataFrame([(5, item)], "item_id long, text string")
+    assert sorted(r["id"]["b"] for r in D.leaks(spark, df, it, key="id").collect()) == ["x", "z"]
