@@ -89,20 +89,38 @@ def band_hashes(value: np.ndarray, first: np.ndarray, bands: int, rows: int) ->
 
 
 def signed(docs: DataFrame, key: str, text: str, n: int, bands: int, rows: int) -> DataFrame:
-    """k (the key), h1 and h2 (hashes of the set; null without n-grams), bands, and grams (the set, 8 bytes each)."""
+    """k (the key), th (a hash of the text), h1 and h2 (of the set; null without n-grams), bands, and size of the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in slices(batches, "t"):
             value, first = shingles(texts, n)
-            empty = np.diff(first) == 0
-            one, two = (pa.array(h.view(np.int64), mask=empty) for h in set_hashes(value, first))
+            size = np.diff(first)
+            one, two = (pa.array(h.view(np.int64), mask=size == 0) for h in set_hashes(value, first))
             found = band_hashes(value, first, bands, rows)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * bands), pa.array(found.view(np.int64).ravel()))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), one, two, lists, pa.array(size)], ["k", "th", "h1", "h2", "bands", "size"])
+
+    thin = docs.select(docs[key].alias("k"), F.xxhash64(docs[text]).alias("th"), docs[text].alias("t"))
+    return thin.mapInArrow(run, f"k {thin.schema['k'].dataType.simpleString()}, th long, h1 long, h2 long, bands array<long>, size long")
+
+
+def _sets(members: DataFrame, docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
+    """members (with rep, the key and text hash of one of their documents, h1 and h2) with `grams`, the set, 8 bytes each."""
+    texts = docs.select(docs[key].alias("__k"), F.xxhash64(docs[text]).alias("__th"), docs[text].alias("t"))
+    met = members.join(texts, F.col("rep.k").eqNullSafe(F.col("__k")) & (F.col("rep.th") == F.col("__th"))).drop("__k", "__th", "rep")
+    names = [c for c in met.columns if c not in ("h1", "h2", "t")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in slices(batches, "t"):
+            value, first = shingles(texts, n)
+            one, two = set_hashes(value, first)
+            h1, h2 = (part.column(part.schema.get_field_index(c)).to_numpy() for c in ("h1", "h2"))
+            right = pa.array(np.flatnonzero((one.view(np.int64) == h1) & (two.view(np.int64) == h2)))  # texts may share a key and a hash
             grams = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(first.astype(np.int64) * 8), pa.py_buffer(value.tobytes())]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([part.column(0), one, two, lists, grams], ["k", "h1", "h2", "bands", "grams"])
+            yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)).take(right) for c in names), grams.take(right)], [*names, "grams"])
 
-    thin = docs.select(docs[key].alias("k"), docs[text].alias("t"))
-    return thin.mapInArrow(run, f"k {thin.schema['k'].dataType.simpleString()}, h1 long, h2 long, bands array<long>, grams binary")
+    kinds = dict(met.dtypes)
+    return met.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in names) + ", grams binary")
 
 
 def _groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.Table]:
@@ -186,14 +204,16 @@ def _blocks(members: DataFrame, label: str, total: int) -> DataFrame:
     return looked_up(members, sizes, label, "n", total).drop("n")
 
 
-def _groups_of(spark: SparkSession, signs: DataFrame, nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+def _groups_of(spark: SparkSession, nodes: DataFrame, sets_of) -> tuple[DataFrame, list[DataFrame]]:
     """(the groups to verify: GROUP, and of each of their nodes block, node, copies, grams, bands, large; tables they are read from)."""
     weighed = nodes.select("node", "w")
     buckets = nodes.select("node", F.explode("bands").alias("band"))
     found = connected_components(spark, _ties(buckets, buckets.count()))
     found = kept(spark, _blocks(found.join(weighed, "node"), "label", found.count()), "candidates")
-    sets = found.join(nodes.select("node", "copies"), "node").join(signs.select(F.col("uid").alias("node"), "grams", "bands"), "node")
-    sets = kept(spark, sets, "sets")
+    sets = kept(spark, sets_of(found.join(nodes.drop("w", "set_id"), "node")), "sets")
+    if sets.count() > found.count():  # rows that repeat a key and a text
+        repeated, sets = sets, kept(spark, sets.dropDuplicates(["node"]), "sets")
+        forget(repeated)
 
     def dealt(rows: DataFrame, label: str) -> DataFrame:
         """Every pair of blocks of a component."""
@@ -239,13 +259,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, key: str = "doc_id", t
     """
     small_batches(spark)
     bands = bands_for(threshold, rows, recall)
-    signs = kept(spark, signed(docs, key, text, n, bands, rows).withColumn("uid", F.monotonically_increasing_id()), "signed")
+    signs = kept(spark, signed(docs, key, text, n, bands, rows), "signed")
     total = signs.count()
     nodes = signs.filter("h1 is not null").groupBy("h1", "h2")
-    weight = F.ceil((F.length("grams") + 1) / (8 * WEIGHT))
-    nodes = nodes.agg(F.min("k").alias("set_id"), F.count("*").alias("copies"), F.min("uid").alias("node"), F.first("bands").alias("bands"), F.max(weight).alias("w"))
-    nodes = kept(spark, nodes, "nodes")
-    groups, tables = _groups_of(spark, signs, nodes)
+    nodes = nodes.agg(F.min("k").alias("set_id"), F.min(F.struct("k", "th")).alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.max(F.ceil(F.col("size") / WEIGHT)).alias("w"))
+    nodes = kept(spark, nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    groups, tables = _groups_of(spark, nodes, lambda members: _sets(members, docs, key, text, n))
     groups = groups.repartition(*GROUP).sortWithinPartitions(*GROUP)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
