@@ -28,7 +28,7 @@ NEED = 10
 # The masks; 1 is a position that counts.
 MASKS = ("111111", "11101011", "1100100111", "1011000111", "1110001011", "11100101001")
 WEIGHT = 6
-TABLE_BITS = (20, 30)  # the bit table has 2**20 to 2**30 bits (128 MB), about 16 for each seed of the items
+TABLE_BITS = (20, 30)  # the bit table has 2**20 to 2**30 bits (128 MB), about 1024 for each seed of the items
 AROUND = WINDOW - 1
 
 _MARKS = re.compile(r"[\W_]+")
@@ -91,7 +91,7 @@ def _item_seeds(items: DataFrame, key: str, text: str) -> DataFrame:
 def _bit_table(spark: SparkSession, seeds: DataFrame) -> tuple[np.ndarray, int]:
     """(the bits of all seeds, how many bits there are as a power of two); what comes to the driver is 4 KB for each of
     2**(bits - 15) stretches at most."""
-    size = min(max((16 * seeds.count()).bit_length(), TABLE_BITS[0]), TABLE_BITS[1])
+    size = min(max((1024 * seeds.count()).bit_length(), TABLE_BITS[0]), TABLE_BITS[1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
