@@ -2,12 +2,12 @@
 
 The model's compiled character map is a trie of byte strings with what replaces them. Normalisation takes the longest
 prefix that the trie knows (or one character as it stands), appends its replacement and notes for every byte of the
-result at which byte of the source it began. Pieces are cut from the normalised text, so their ends there give spans
-in the original. A model with an empty map, which keeps all blanks, needs no table: its spans are running sums.
+result at which byte of the source it began. Stretches in which no entry of the trie can begin are taken as they stand
+in one step. Pieces are cut from the normalised text, so their ends there give spans in the original.
 
-Merging in a BPE vocabulary never joins what no piece spans. Where no piece has the blank mark behind another
-character, a text's pieces are those of its words, each with the marks before it; words that were met before are
-taken from memory. Other vocabularies encode whole texts.
+Merging in a BPE vocabulary never joins what no piece spans. Where the map is empty and no piece has the blank mark
+behind another character, a text's pieces are those of the words of its normalised form, each with the marks before it;
+words that were met before are taken from memory. Other vocabularies encode whole texts.
 """
 
 from __future__ import annotations
@@ -64,6 +64,17 @@ class Normaliser:
         self.map = CharacterMap(charsmap)
         self.prefix, self.squeeze, self.escape = add_dummy_prefix, remove_extra_whitespaces, escape_whitespaces
         self.blank = MARK.encode() if escape_whitespaces else b" "
+        #: whether an entry of the map, or what is squeezed, can begin with a byte
+        self.begins = np.array([self._can_begin(b) for b in range(256)])
+        if remove_extra_whitespaces:
+            self.begins[0x20] = True
+
+    def _can_begin(self, b: int) -> bool:
+        units = self.map.units
+        if not units:
+            return False
+        at = ((units[0] >> 10) << ((units[0] & 0x200) >> 6)) ^ b
+        return at < len(units) and units[at] & 0x800000FF == b
 
     def _next(self, data: bytes, at: int) -> tuple[bytes, int]:
         size, place = self.map.longest(data, at)
@@ -73,37 +84,48 @@ class Normaliser:
         size = 1 if lead < 0x80 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4
         return data[at : at + size], size
 
-    def normalise(self, data: bytes) -> tuple[bytes, list[int]]:
-        """The normalised bytes, and for each of them, and for their end, the place in data where its source begins."""
-        out, origin, at, n = bytearray(), [], 0, len(data)
-
-        def put(piece: bytes, source: int):
-            piece = piece.replace(b" ", self.blank)
-            out.extend(piece)
-            origin.extend([source] * len(piece))
+    def _plain(self, data: bytes, at: int, end: int) -> tuple[bytes, np.ndarray]:
+        """A stretch of whole characters that stand for themselves, and for each of its bytes where its character begins."""
+        part = np.frombuffer(data, np.uint8, end - at, at)
+        origin = np.maximum.accumulate(np.where((part & 0xC0) != 0x80, np.arange(at, end), at))
+        if not self.escape:
+            return data[at:end], origin
+        return data[at:end].replace(b" ", self.blank), np.repeat(origin, np.where(part == 0x20, len(self.blank), 1))
 
-        while self.squeeze and at < n:
+    def normalise(self, data: bytes) -> tuple[bytes, np.ndarray]:
+        """The normalised bytes, and for each of them, and for their end, the place in data where its source begins."""
+        at, n, after_blank = 0, len(data), self.squeeze
+        while self.squeeze and at < n:  # leading blanks
             piece, size = self._next(data, at)
             if piece != b" ":
                 break
             at += size
         if at == n:
-            return b"", [at]
-        if self.prefix:
-            put(b" ", at)
-        after_blank = self.squeeze
+            return b"", np.array([at])
+        out: list[bytes] = [self.blank] if self.prefix else []
+        origin = [np.full(len(self.blank), at)] if self.prefix else []
+        special = np.flatnonzero(self.begins[np.frombuffer(data, np.uint8)])
         while at < n:
+            k = np.searchsorted(special, at)
+            stop = int(special[k]) if k < len(special) else n
+            if at < stop:
+                piece, places = self._plain(data, at, stop)
+                out.append(piece)
+                origin.append(places)
+                after_blank, at = False, stop
+                continue
             piece, size = self._next(data, at)
-            if after_blank:
-                piece = piece.lstrip(b" ")
+            piece = piece.lstrip(b" ") if after_blank else piece
             if piece:
-                put(piece, at)
+                shown = piece.replace(b" ", self.blank)
+                out.append(shown)
+                origin.append(np.full(len(shown), at))
                 after_blank = self.squeeze and piece.endswith(b" ")
             at += size
-        while self.squeeze and out.endswith(self.blank):
-            at = origin[-len(self.blank)]
-            del out[-len(self.blank) :], origin[-len(self.blank) :]
-        return bytes(out), [*origin, at]
+        text, places = b"".join(out), np.concatenate([*origin, [at]])
+        while self.squeeze and text.endswith(self.blank):
+            text, places = text[: -len(self.blank)], places[: len(places) - len(self.blank)]
+        return text, places
 
 
 class Pieces:
@@ -119,12 +141,11 @@ class Pieces:
         spec = model.normalizer_spec
         self.norm = Normaliser(spec.precompiled_charsmap, spec.add_dummy_prefix, spec.remove_extra_whitespaces, spec.escape_whitespaces)
         names = [p.piece for p in model.pieces]
-        self.simple = not spec.precompiled_charsmap and spec.add_dummy_prefix and not spec.remove_extra_whitespaces and spec.escape_whitespaces
+        plain = not spec.precompiled_charsmap and spec.add_dummy_prefix and not spec.remove_extra_whitespaces and spec.escape_whitespaces
         own = any(p.type == p.USER_DEFINED for p in model.pieces)
         suffix = model.trainer_spec.treat_whitespace_as_suffix
-        self.by_word = self.simple and not own and not suffix and model.trainer_spec.model_type == BPE and not any(MARK in p.lstrip(MARK) for p in names)
-        # bytes of the source that a piece covers; -1: as many as are left unexplained (an unknown character)
-        self.size = np.array([1 if p.type == p.BYTE else -1 if p.type == p.UNKNOWN else len(p.piece.replace(MARK, " ").encode()) for p in model.pieces], np.int32)
+        self.by_word = plain and not own and not suffix and model.trainer_spec.model_type == BPE and not any(MARK in p.lstrip(MARK) for p in names)
+        # bytes of the normalised text that a piece covers
         self.norm_size = np.array([1 if p.type == p.BYTE else len(p.piece.encode()) for p in model.pieces], np.int32)
         self.unknown = {i for i, p in enumerate(model.pieces) if p.type == p.UNKNOWN}
         self.known: dict[str, tuple[bytes, bytes]] = {}
@@ -132,45 +153,42 @@ class Pieces:
     def _entry(self, ids: list[int]) -> tuple[bytes, bytes]:
         return np.array(ids, "<u4").tobytes(), b",".join(b"%d" % i for i in ids)
 
-    def encode(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
-        """Of each text: its ids as little-endian unsigned 32-bit numbers, and as decimals joined by commas."""
-        if not self.by_word:
-            return [self._entry(ids) for ids in self.sp.encode(texts, num_threads=1)]
-        cut = []
-        for t in texts:
-            s = MARK + t.replace(" ", MARK)
-            cut.append([c[1:] for c in re.findall(f"{MARK}+[^{MARK}]*", s)] if MARK * 2 in s else s.split(MARK)[1:])
+    def encode(self, texts: list[str]) -> list[tuple[bytes, bytes, np.ndarray]]:
+        """Of each text: its ids as little-endian unsigned 32-bit numbers, the same as decimals joined by commas, and the
+        bounds of its pieces: piece i comes from the bytes bounds[i] to bounds[i + 1] of the text."""
+        normal = [self.norm.normalise(t.encode()) for t in texts]
+        if self.by_word:
+            found = self._by_word([n.decode() for n, _ in normal])
+        else:
+            found = [self._entry(ids) for ids in self.sp.encode(texts, num_threads=1)]
+        return [(ids, said, self._bounds(np.frombuffer(ids, "<u4").astype(np.int32), *n)) for (ids, said), n in zip(found, normal, strict=True)]
+
+    def _by_word(self, normal: list[str]) -> list[tuple[bytes, bytes]]:
+        cut = [re.findall(f"{MARK}+[^{MARK}]*", s) if MARK * 2 in s else [MARK + w for w in s.split(MARK)[1:]] for s in normal]
         if len(self.known) > CACHE:
             self.known = {}
         new = list({w for words in cut for w in words} - self.known.keys())
-        for w, ids in zip(new, self.sp.encode(new, num_threads=1), strict=True):
-            self.known[w] = self._entry(ids if w else [self.sp.piece_to_id(MARK)])
+        # the library puts a mark before each word itself
+        for w, ids in zip(new, self.sp.encode([w[1:] for w in new], num_threads=1), strict=True):
+            self.known[w] = self._entry(ids if w != MARK else [self.sp.piece_to_id(MARK)])
         out = []
-        for t, words in zip(texts, cut, strict=True):
-            found = [self.known[w] for w in words] if t else []
+        for words in cut:
+            found = [self.known[w] for w in words]
             out.append((b"".join([a for a, _ in found]), b",".join([b for _, b in found])))
         return out
 
-    def spans(self, text: str, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(starts, ends) of the pieces in the text's bytes. A blank put before the text covers none; a byte piece
-        covers its byte; of a character that became several, the first piece begins at it and the last ends behind."""
-        data = text.encode()
+    def _bounds(self, ids: np.ndarray, norm: bytes, origin: np.ndarray) -> np.ndarray:
+        """Places in the source: where each piece begins, and where the last one ends. Of a character that became several
+        pieces all but the last are empty, as the library has it; a blank put before the text covers no byte."""
         if not len(ids):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        if self.simple and MARK not in text and not (self.unknown and np.isin(ids, list(self.unknown)).any()):
-            ends = np.maximum(np.cumsum(self.size[ids], dtype=np.int64) - 1, 0)
-            return np.concatenate([[0], ends[:-1]]), ends
-        norm, origin = self.norm.normalise(data)
+            return np.zeros(1, np.int64)
         sizes = self.norm_size[ids].astype(np.int64)
-        at = 0
-        for i, k in enumerate(ids.tolist()):  # an unknown piece takes what lies before the next known one
-            if k in self.unknown:
-                later = next((self.sp.id_to_piece(int(j)).encode() for j in ids[i + 1 :] if int(j) not in self.unknown), None)
-                sizes[i] = (norm.index(later, at + 1) if later else len(norm)) - at
-            at += sizes[i]
-        ends = np.minimum(np.cumsum(sizes), len(norm))
-        origin = np.array(origin, np.int64)
-        return origin[np.concatenate([[0], ends[:-1]])], origin[ends]
+        unknown = np.flatnonzero(np.isin(ids, list(self.unknown))) if self.unknown else ()
+        for i in unknown:  # an unknown piece takes what lies before the next known one
+            at = int(sizes[:i].sum())
+            later = next((self.sp.id_to_piece(int(j)).encode() for j in ids[i + 1 :] if int(j) not in self.unknown), None)
+            sizes[i] = (norm.index(later, at + 1) if later else len(norm)) - at
+        return origin[np.minimum(np.concatenate([[0], np.cumsum(sizes)]), len(norm))]
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.sp.decode(ids, num_threads=1) if ids else []
@@ -194,11 +212,11 @@ def encode_pieces(spark: SparkSession, df: DataFrame, path: str, text: str = "te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(path)
         for part, texts in slices(batches, part_name):
-            ids = [np.frombuffer(a, "<u4").astype(np.int32) for a, _ in model.encode(texts)]
-            spans = [model.spans(t, i) for t, i in zip(texts, ids, strict=True)]
+            found = model.encode(texts)
+            ids = [np.frombuffer(a, "<u4").astype(np.int32) for a, _, _ in found]
             offsets = pa.array(np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int32))
             of = lambda arrays: pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([np.zeros(0, np.int32), *arrays]).astype(np.int32)))
-            new = [of(ids), of([s for s, _ in spans]), of([e for _, e in spans]), pa.array(model.decode([i.tolist() for i in ids]), pa.string())]
+            new = [of(ids), of([b[:-1] for _, _, b in found]), of([b[1:] for _, _, b in found]), pa.array(model.decode([i.tolist() for i in ids]), pa.string())]
             yield pa.RecordBatch.from_arrays([*part.columns, *new], [*part.schema.names, "ids", "starts", "ends", "decoded"])
 
     part_name = rest.columns[at]
@@ -210,7 +228,8 @@ def encode_pieces(spark: SparkSession, df: DataFrame, path: str, text: str = "te
 
 
 def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digests of the ids and of the decoded text of all documents; span_bytes: bytes of the text that pieces cover."""
+    """Digests of the ids and of the decoded text of all documents; span_bytes: bytes of the text that pieces cover;
+    bounds_sha256: digest of where the pieces begin, and the end, as little-endian 32-bit numbers."""
     import public_tokenizers
 
     path = public_tokenizers.path("piece_bpe_32k.model")
@@ -218,14 +237,18 @@ def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(path)
+        sha = lambda b: hashlib.sha256(b).hexdigest()
         for part, texts in slices(batches, "text"):
             found = model.encode(texts)
-            ids = [np.frombuffer(a, "<u4").astype(np.int32) for a, _ in found]
-            back = model.decode([i.tolist() for i in ids])
-            ends = [model.spans(t, i)[1] for t, i in zip(texts, ids, strict=True)]
-            sha = lambda b: hashlib.sha256(b).hexdigest()
-            cols = [part.column(0), pa.array([len(i) for i in ids], pa.int64()), pa.array([sha(b) for _, b in found]), pa.array([sha(t.encode()) for t in back]), pa.array([int(e[-1]) if len(e) else 0 for e in ends], pa.int64())]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "span_bytes"])
+            back = model.decode([np.frombuffer(a, "<u4").tolist() for a, _, _ in found])
+            cols = [
+                pa.array([len(a) // 4 for a, _, _ in found], pa.int64()),
+                pa.array([sha(b) for _, b, _ in found]),
+                pa.array([sha(t.encode()) for t in back]),
+                pa.array([int(b[-1] - b[0]) for _, _, b in found], pa.int64()),
+                pa.array([sha(b.astype("<u4").tobytes()) for _, _, b in found]),
+            ]
+            yield pa.RecordBatch.from_arrays([part.column(0), *cols], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "span_bytes", "bounds_sha256"])
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return docs.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, span_bytes long")
+    return docs.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, span_bytes long, bounds_sha256 string")
