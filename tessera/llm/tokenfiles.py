@@ -9,7 +9,8 @@ A segment holds consecutive documents in key order, in one run of bytes:
 An Elias-Fano sequence of n ascending numbers up to u keeps the low floor(log2(u / n)) bits of each in a packed array
 and the high bits in unary, in a bit vector of about 2n bits: near 2 + log2(u / n) bits a number instead of 64. The
 position of every 256th one of the bit vector is kept too (`select` samples, 32 bits each): the i-th number is read
-by counting ones from its sample on.
+by counting ones from its sample on. Files are read by the same select structures, the 256 numbers of one sample at a
+time: no table of 64-bit offsets is ever made.
 
 On Spark a segment is a row of a Parquet table (part, seg, docs, ids, payload), so that the files are committed by
 Spark's own writer on any file system. Segments of one part, and the parts, are in key order.
@@ -23,7 +24,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -74,32 +75,27 @@ class EliasFano:
             at += size
         return cls(n, top, low_bits, *parts), at
 
-    def _low(self, i: int) -> int:
-        at = i * self.low_bits
-        chunk = int.from_bytes(self.low[at // 8 : (at + self.low_bits + 7) // 8].tobytes(), "little")
-        return (chunk >> (at % 8)) & ((1 << self.low_bits) - 1)
+    def block(self, b: int) -> np.ndarray:
+        """The numbers from one sample to the next: at most SAMPLE, the first of them the (b * SAMPLE)-th."""
+        i, n = b * SAMPLE, min(SAMPLE, self.n - b * SAMPLE)
+        at = int(self.samples[b])
+        end = int(self.samples[b + 1]) if b + 1 < len(self.samples) else len(self.high) * 8
+        ones = np.flatnonzero(np.unpackbits(self.high[at // 8 : (end + 7) // 8], bitorder="little")) + at // 8 * 8
+        high = ones[(ones >= at)][:n] - np.arange(i, i + n)
+        bit = i * self.low_bits
+        bits = np.unpackbits(self.low[bit // 8 : (bit + n * self.low_bits + 7) // 8], bitorder="little")[bit % 8 :][: n * self.low_bits]
+        low = (bits.reshape(n, self.low_bits).astype(np.uint64) << np.arange(self.low_bits, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+        return (high.astype(np.uint64) << np.uint64(self.low_bits)) | low
 
     def select(self, i: int) -> int:
-        """The i-th number, from the nearest sample on."""
+        """The i-th number."""
         if not 0 <= i < self.n:
             raise IndexError(i)
-        at, left = int(self.samples[i // SAMPLE]), i % SAMPLE
-        byte = at // 8
-        seen = -(int(self.high[byte]) & ((1 << (at % 8)) - 1)).bit_count()
-        while seen + (ones := int(self.high[byte]).bit_count()) <= left:
-            seen, byte = seen + ones, byte + 1
-        for bit in range(8):
-            if self.high[byte] >> bit & 1:
-                if seen == left:
-                    return ((byte * 8 + bit - i) << self.low_bits) | self._low(i)
-                seen += 1
-        raise AssertionError("a sample is wrong")
-
-    def all(self) -> np.ndarray:
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little")).astype(np.uint64)
-        bits = np.unpackbits(self.low, bitorder="little", count=self.n * self.low_bits).reshape(self.n, self.low_bits)
-        low = (bits.astype(np.uint64) << np.arange(self.low_bits, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
-        return ((ones - np.arange(self.n, dtype=np.uint64)) << np.uint64(self.low_bits)) | low
+        return int(self.block(i // SAMPLE)[i % SAMPLE])
+
+    def __iter__(self) -> Iterator[int]:
+        for b in range(len(self.samples)):
+            yield from self.block(b).tolist()
 
     def nbytes(self) -> int:
         return SEQ.size + self.low.nbytes + self.high.nbytes + self.samples.nbytes
@@ -122,21 +118,24 @@ class Segment:
         if magic != MAGIC:
             raise ValueError("not a token segment")
         self.ends, took = EliasFano.from_bytes(view[HEAD.size :])
-        at, self.keys = HEAD.size + took, None
+        at, self.keys = HEAD.size + took, False
         if keyed:
-            gaps, took = EliasFano.from_bytes(view[at:])
-            self.keys, at = [least + int(g) for g in gaps.all()], at + took
+            self.gaps, took = EliasFano.from_bytes(view[at:])
+            self.keys, self.least, at = True, least, at + took
         self.flat = np.frombuffer(view[at : at + self.n_ids * self.width], f"<u{self.width}")
 
     def ids(self, i: int) -> np.ndarray:
         """The ids of document i, found through the two selects around it."""
         return self.flat[self.ends.select(i - 1) if i else 0 : self.ends.select(i)].astype("<u4")
 
-    def documents(self) -> Iterator[tuple[int, np.ndarray]]:
-        """(place of the first id, ids) of every document, in order."""
+    def key(self, i: int) -> int | None:
+        return self.least + self.gaps.select(i) if self.keys else None
+
+    def documents(self) -> Iterator[tuple[int | None, int, np.ndarray]]:
+        """(key, place of the first id, ids) of every document, in order."""
         at = 0
-        for end in self.ends.all().tolist():
-            yield at, self.flat[at:end].astype("<u4")
+        for end, gap in zip(self.ends, self.gaps if self.keys else repeat(None)):  # noqa: B905
+            yield None if gap is None else self.least + gap, at, self.flat[at:end].astype("<u4")
             at = end
 
 
@@ -295,10 +294,10 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for part, seg, payload in zip(*(batch.column(i) for i in range(3)), strict=True):
                 s = Segment(payload.as_py())
-                found = [(at, len(ids), zlib.crc32(ids.tobytes())) for at, ids in s.documents()]
-                at, n, crc = map(list, zip(*found, strict=True))
+                found = [(key, at, len(ids), zlib.crc32(ids.tobytes())) for key, at, ids in s.documents()]
+                keys, at, n, crc = map(list, zip(*found, strict=True))
                 m = len(found)
-                cols = [pa.array([part.as_py()] * m), pa.array([seg.as_py()] * m), pa.array(s.keys or [None] * m, pa.int64()), pa.array(at, pa.int64()), pa.array(n, pa.int64()), pa.array(crc, pa.int64())]
+                cols = [pa.array([part.as_py()] * m), pa.array([seg.as_py()] * m), pa.array(keys, pa.int64()), pa.array(at, pa.int64()), pa.array(n, pa.int64()), pa.array(crc, pa.int64())]
                 yield pa.RecordBatch.from_arrays(cols, ["part", "seg", "key", "at", "n_tokens", "ids_crc32"])
 
     rows = files.select("part", "seg", "payload").mapInArrow(run, "part long, seg long, key long, at long, n_tokens long, ids_crc32 long")

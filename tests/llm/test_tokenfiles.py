@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from tessera.llm import tokenfiles as T
-from tessera.llm.arrow import shared_folder
+from tessera.sources.shared import shared_folder
 
 from ..conftest import SF
 
@@ -22,7 +22,7 @@ LIB = Tokenizer.from_file(PATH)
 def test_elias_fano(values):
     values = sorted(values)
     ef, size = T.EliasFano.from_bytes(memoryview(T.EliasFano.of(values).to_bytes() + b"rest"))
-    assert size == ef.nbytes() and ef.all().tolist() == values
+    assert size == ef.nbytes() and list(ef) == values
     assert [ef.select(i) for i in range(len(values))] == values
 
 
@@ -65,4 +65,5 @@ def test_edges(spark, n):
 def test_a_segment_reads_single_documents():
     docs = [[5, 6], [], [70_000, 1, 2]]
     s = T.Segment(T.write_segment([np.array(d, "<u4").tobytes() for d in docs], [-5, -5, 9], 4))
-    assert [s.ids(i).tolist() for i in range(3)] == docs and s.keys == [-5, -5, 9]
+    assert [s.ids(i).tolist() for i in range(3)] == docs and [s.key(i) for i in range(3)] == [-5, -5, 9]
+    assert [(k, at) for k, at, _ in s.documents()] == [(-5, 0), (-5, 2), (9, 2)]
