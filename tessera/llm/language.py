@@ -96,6 +96,7 @@ def learn(spark: SparkSession, labelled: DataFrame, text: str = "text", lang: st
 
     What comes to the driver is DIMENSIONS numbers a language, and MOST_LANGUAGES languages at most (an error beyond).
     """
+    small_batches(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -111,14 +112,13 @@ def learn(spark: SparkSession, labelled: DataFrame, text: str = "text", lang: st
 
     thin = labelled.select(labelled[lang].alias("l"), labelled[text].alias("t")).filter("l is not null and t is not null")
     parts = thin.mapInArrow(run, "lang string, v array<double>").select("lang", F.posexplode("v").alias("i", "x"))
-    total = parts.groupBy("lang", "i").agg(F.sum("x").alias("x"))
-    names = sorted(r[0] for r in total.filter("i = 0").select("lang").limit(MOST_LANGUAGES + 1).collect())
-    if len(names) > MOST_LANGUAGES:
+    sums = parts.groupBy("lang", "i").agg(F.sum("x").alias("x")).groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("v"))
+    rows = sums.select("lang", F.col("v.x").alias("v")).limit(MOST_LANGUAGES + 1).collect()  # DIMENSIONS numbers a language; one pass over the texts
+    if len(rows) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    found = np.zeros((len(names), DIMENSIONS))
-    place = {name: k for k, name in enumerate(names)}
-    for name, i, x in total.collect():
-        found[place[name], i] = x
+    rows.sort(key=lambda r: r["lang"])
+    names = [r["lang"] for r in rows]
+    found = np.array([r["v"] for r in rows], np.float64).reshape(len(names), DIMENSIONS)
     return names, _unit(found)
 
 
@@ -131,6 +131,7 @@ def predict(spark: SparkSession, df: DataFrame, names: list[str], prototypes: np
 
     `und` and 0 for a null text, one without a letter, or where no language was learned; a tie goes to the first name.
     """
+    small_batches(spark)
     rest = df.drop("lang_pred", "score")
     columns = rest.columns
     shared = _unit(prototypes.mean(axis=0)) if len(names) > 1 else np.zeros(DIMENSIONS)
