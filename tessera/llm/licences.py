@@ -2,8 +2,9 @@
 
 A text is cut into sentences, which are normalised to lower-case letters and digits with single blanks and looked up
 among known licence sentences; of references ("licensed under ...", "License: ...", SPDX tags) the names are. What remains is a short sequence of identifiers. Ordered rules are matched against it:
-the first rules need the most sentences, a rule takes the identifiers it has matched out of the sequence, and what no
-rule takes is reported. Sentences may end at line ends or run over them: a stretch between ends of sentences and blank
+the first rules need the most sentences, a rule puts a mark in place of the identifiers it has matched, so that what
+stood on both sides doesn't become a sequence, and what no rule takes is reported. References to a licence that the
+catalogue doesn't know are reported too. Sentences may end at line ends or run over them: a stretch between ends of sentences and blank
 lines that is known as a whole is one sentence, and of any other stretch each line is looked up.
 """
 
@@ -12,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.frames import shielded
 from tessera.llm.licence_texts import catalogue
 
 # Identifier and normalised wording of the sentences that the SQL knows, which stays as it is.
@@ -75,6 +77,8 @@ PLAIN = (
     (r"([0-9]) 0(?= |$)", "$1"),
 )
 
+TAKEN = "|#|"  # in place of identifiers that a rule has taken
+
 SENTENCES, RULES, NAMES = catalogue(SQL_SENTENCES, SQL_RULES)
 KNOWN = {wording: name for name, wordings in SENTENCES.items() for wording in wordings}
 
@@ -116,28 +120,51 @@ def _known(piece: Column, whole: bool) -> Column:
     return F.when(piece.rlike(CUE), _let(plain, looked_up)).otherwise(F.array().cast("array<string>"))
 
 
+def _pieces(text: Column) -> Column:
+    """Stretches of a lower-case text between ends of sentences and blank lines."""
+    return F.split(F.regexp_replace(F.lower(text), END, "$1\u0001"), "\u0001")
+
+
 def _sentences(text: Column) -> Column:
     """Identifiers of the known sentences of a text, in its order.
 
     No piece of a line reaches over the end of a stretch, so that every sentence of either cut has its place.
     """
-    ended = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), END, "$1\u0001")
+    none = F.array().cast("array<string>")
 
     def either(piece: Column) -> Column:
         lines = F.flatten(F.transform(F.split(piece, "\n"), lambda line: _known(line, False)))
-        return F.when(piece.rlike(CUE), _let(_known(piece, True), lambda x: F.when(F.size(x) > 0, x).otherwise(lines))).otherwise(F.array().cast("array<string>"))
+        return F.when(piece.rlike(CUE), _let(_known(piece, True), lambda x: F.when(F.size(x) > 0, x).otherwise(lines))).otherwise(none)
+
+    return F.when(text.rlike(f"(?i:{CUE})"), F.flatten(F.transform(_pieces(text), either))).otherwise(none)
+
+
+def _unknown(text: Column) -> Column:
+    """What references to licences name, where none of it is known."""
+    none = F.array().cast("array<string>")
+
+    def of(sentence: Column) -> Column:
+        plain = F.trim(F.regexp_replace(sentence, "[^a-z0-9]+", " "))
+        named = F.regexp_extract(plain, REFERENCE, 1)
+        strange = sentence.rlike(r"licen[sc]e|spdx") & plain.rlike(REFERENCE) & (F.size(F.split(named, " ")) <= 12) & (F.size(_known(sentence, False)) == 0)
+        return F.when(strange, F.array(named)).otherwise(none)
 
-    return F.flatten(F.transform(F.split(ended, "\u0001"), either))
+    lines = F.flatten(F.transform(_pieces(text), lambda p: F.when(p.rlike(CUE), F.split(p, "\n")).otherwise(none)))
+    return F.when(text.rlike(r"(?i:licen[sc]e|spdx)"), F.flatten(F.transform(lines, of))).otherwise(none)
 
 
 def scan_licences(df: DataFrame, text: str = "text") -> DataFrame:
-    """df with `sentences` (identifiers in the order of the text), `licences` (in the order of the rules, each once)
-    and `left` (identifiers that no rule took), all array<string>.
+    """df with `sentences` (identifiers in the order of the text), `licences` (in the order of the rules, each once),
+    `left` (identifiers that no rule took) and `unknown` (names in references to licences, none of them known), all
+    array<string>.
 
-    A null or empty text has empty arrays. Columns of these names are replaced, all others stay; every row is judged
-    by itself, so repeated rows repeat their result. Names that begin with two underscores are reserved.
+    A null or empty text has empty arrays. Columns of these names are replaced, all others stay, whatever their names;
+    every row is judged by itself, so repeated rows repeat their result.
     """
-    out = df.drop("sentences", "licences", "left").withColumn("sentences", _sentences(F.col(text)))
+    added = ("sentences", "licences", "left", "unknown")
+    inside, restored = shielded(df.drop(*added), text)
+    body = F.coalesce(F.col(text), F.lit(""))
+    out = inside.withColumns({"sentences": _sentences(body), "unknown": _unknown(body)})
     # identifiers between bars, each with a bar of its own on both sides, so that a rule can't match parts of names
     out = out.withColumn("__seq", F.concat(F.lit("|"), F.array_join("sentences", "||"), F.lit("|"))).withColumn("__found", F.array().cast("array<string>"))
     state = F.struct(F.col("__seq").alias("seq"), F.col("__found").alias("found"))
@@ -145,16 +172,12 @@ def scan_licences(df: DataFrame, text: str = "text") -> DataFrame:
     taken = F.aggregate(
         rules,
         state,
-        lambda s, r: F.when(s["seq"].contains(r["run"]), F.struct(F.replace(s["seq"], r["run"], F.lit("")).alias("seq"), F.array_append(s["found"], r["licence"]).alias("found"))).otherwise(s),
+        lambda s, r: F.when(s["seq"].contains(r["run"]), F.struct(F.replace(s["seq"], r["run"], F.lit(TAKEN)).alias("seq"), F.array_append(s["found"], r["licence"]).alias("found"))).otherwise(s),
     )
     out = out.withColumn("__taken", F.when(F.size("sentences") > 0, taken))
-    left = F.filter(F.split("__taken.seq", r"\|+"), lambda x: x != "")
-    return out.withColumns(
-        {
-            "licences": F.array_distinct(F.coalesce("__taken.found", F.array().cast("array<string>"))),
-            "left": F.coalesce(left, F.array().cast("array<string>")),
-        }
-    ).drop("__seq", "__found", "__taken")
+    rest = F.filter(F.split("__taken.seq", r"\|+"), lambda x: ~x.isin("", "#"))
+    none = F.array().cast("array<string>")
+    return restored(out.withColumns({"licences": F.array_distinct(F.coalesce("__taken.found", none)), "left": F.coalesce(rest, none)}), *added)
 
 
 def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,7 +195,7 @@ def _sql() -> str:
     steps = ["s0 AS (SELECT doc_id, sentences, CASE WHEN len(sentences) > 0 THEN concat('|', array_to_string(sentences, '||'), '|') ELSE '' END AS seq, CAST([] AS VARCHAR[]) AS found FROM cut)"]
     for k, (licence, rule) in enumerate(SQL_RULES):
         run = "".join(f"|{s}|" for s in rule)
-        steps.append(f"s{k + 1} AS (SELECT doc_id, sentences, replace(seq, '{run}', '') AS seq, CASE WHEN contains(seq, '{run}') AND NOT list_contains(found, '{licence}') THEN list_append(found, '{licence}') ELSE found END AS found FROM s{k})")
+        steps.append(f"s{k + 1} AS (SELECT doc_id, sentences, replace(seq, '{run}', '{TAKEN}') AS seq, CASE WHEN contains(seq, '{run}') AND NOT list_contains(found, '{licence}') THEN list_append(found, '{licence}') ELSE found END AS found FROM s{k})")
     return f"""
 WITH low AS (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents), both_ways AS (
   SELECT doc_id, {known(f"regexp_replace(t, '([.!?]){BLANK}+', '\\1' || chr(10), 'g')")} AS lines,
@@ -181,7 +204,7 @@ WITH low AS (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents), both
   SELECT doc_id, CASE WHEN len(runs) > len(lines) THEN runs ELSE lines END AS sentences FROM both_ways
 ), {", ".join(steps)}
 SELECT doc_id, CAST(len(sentences) AS BIGINT) AS n_sentences, array_to_string(sentences, ',') AS sentences, array_to_string(found, ',') AS licences,
-  array_to_string(list_filter(string_split(seq, '|'), lambda x: x <> ''), ',') AS "left" FROM s{len(SQL_RULES)}
+  array_to_string(list_filter(string_split(seq, '|'), lambda x: x NOT IN ('', '#')), ',') AS "left" FROM s{len(SQL_RULES)}
 """
 
 

@@ -137,3 +137,25 @@ def test_references_and_families(spark):
 
 def test_every_wording_has_a_cue():
     assert [w for w in L.KNOWN if not re.search(L.CUE, w)] == []
+
+
+def test_a_taken_rule_keeps_its_place(spark):
+    """BSD forms, a whole GPL notice, then the rest of a BSD text: the two parts don't meet."""
+    forms = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.\n\n"
+    source = "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n\n"
+    binary = "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.\n\n"
+    assert scanned(spark, [forms + source + GPL3 + "\n\n" + binary]) == [(["GPL-3.0-or-later", "BSD"], ["BsdSource", "BsdBinary"])]
+    assert scanned(spark, [forms + source + binary + GPL3]) == [(["GPL-3.0-or-later", "BSD"], [])]
+
+
+def test_unknown_licences_are_reported(spark):
+    texts = ["This file is licensed under the Frobnicate Public License 7.", "SPDX-License-Identifier: LicenseRef-Own\nSPDX-License-Identifier: MIT", "License: GLWTPL", "Licensed under the MIT License.", "He walked under the bridge; the license plate was red.", None, ""]
+    df = spark.createDataFrame([(i, t, "own") for i, t in enumerate(texts)], "i int, text string, __taken string")
+    got = {r["i"]: (r["unknown"], r["licences"], r["__taken"]) for r in L.scan_licences(df).collect()}
+    assert [got[i][0] for i in range(7)] == [["the frobnicate public license 7"], ["licenseref own"], ["glwtpl"], [], [], [], []]
+    assert got[1][1] == got[3][1] == ["MIT"] and all(g[2] == "own" for g in got.values())
+
+
+def test_long_texts(spark):
+    text = ("word " * 15 + "\n") * 130_000 + LINE + "\n\n" + GPL3  # ten megabytes
+    assert scanned(spark, [text, "a" * 10_000_000 + " license "]) == [(["GPL-3.0-or-later", "CC-BY-NC-4.0"], []), ([], [])]
