@@ -6,7 +6,8 @@ of an arc that find their shard full go on clockwise to the next point whose sha
 
 Rows of one arc have the same list of choices, so the ring is settled on the *counts* of the arcs: a table of
 `shards * vnodes` numbers, whatever the input. The plan says which ranks of an arc belong to which shard, and at
-which slot they start; rows are ranked within their arc and look the plan up.
+which slot they start; rows are ranked within their arc and look the plan up. An arc of many rows (one key may hold
+a third of them) is dealt by a draw into pieces of about PIECE rows, which are ranked side by side.
 
 With `slack=0` the capacities add up to the number of rows and differ by at most one, so every shard is exactly
 full: the law `rows`. With a positive slack shards may hold up to (1 + slack) of the mean, and fewer keys move
@@ -23,8 +24,12 @@ from bisect import bisect_left
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.frames import shielded
+from tessera.sources.shared import kept
+
 RING = 1 << 32
 CELLS = 1 << 12
+PIECE = 1 << 20
 
 
 def ring_points(shards: int, vnodes: int) -> list[tuple[int, int]]:
@@ -101,28 +106,35 @@ def assign_shards(spark: SparkSession, df: DataFrame, key: str, shards: int, vno
     """df with `shard` (0 to shards-1) and `slot` (gapless from 0 within the shard).
 
     Nulls in the key hash like one more key, and repeated keys share a position; both are spread like any rows that
-    overflow, and ranked by `ties` (default: none). An empty table gives an empty table. Columns of df named `shard`
-    or `slot` are replaced; all others stay, and names that begin with two underscores are reserved.
-    df is read twice: first the key column alone, for the counts of the arcs.
+    overflow, and ranked by `ties` (default: none) within their piece. An empty table gives an empty table. Columns of
+    df named `shard` or `slot` are replaced; all others stay, whatever their names. The rows are written to the shared
+    folder once, with their arcs and draws, so that counting and ranking see the same.
     """
     points = ring_points(shards, vnodes)
     owners = [s for _, s in points]
-    rows = _with_arc(spark, df.drop("shard", "slot"), key, points)
-    counted = _with_arc(spark, df.select(key), key, points).groupBy("__arc").count()
-    counts = {r[0]: r[1] for r in counted.collect()}  # shards * vnodes numbers at most
+    inside, restored = shielded(df.drop("shard", "slot"), key, *(ties or []))
+    rows = _with_arc(spark, inside, key, points).withColumn("__draw", F.rand(29))
+    rows = kept(spark, rows, "arcs")
+    counts = {r[0]: r[1] for r in rows.groupBy("__arc").count().collect()}  # shards * vnodes numbers at most
     plan = settle(counts, owners, capacities(sum(counts.values()), shards, slack))
     table = _table(spark, plan, "__arc int, __from long, __to long, shard int, __base long")
     table = table.groupBy("__arc").agg(F.collect_list(F.struct("__from", "__to", "shard", "__base")).alias("__plan"))
-    order = Window.partitionBy("__arc").orderBy("__pos", key, *(ties or []))
-    ranked = rows.withColumn("__rank", F.row_number().over(order) - 1)
+    pieces = _table(spark, [(arc, -(-n // PIECE)) for arc, n in counts.items()], "__arc int, __pieces int")
+    rows = rows.join(F.broadcast(pieces), "__arc").withColumn("__piece", F.floor(F.col("__draw") * F.col("__pieces")).cast("int"))
+    sizes = rows.groupBy("__arc", "__piece").agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy("__arc").orderBy("__piece")) - F.col("__n")
+    starts = sizes.select("__arc", "__piece", before.alias("__before"))  # a row for each arc and PIECE rows
+    order = Window.partitionBy("__arc", "__piece").orderBy("__pos", key, *(ties or []))
+    ranked = rows.withColumn("__place", F.row_number().over(order) - 1).join(F.broadcast(starts), ["__arc", "__piece"])
+    ranked = ranked.withColumn("__rank", F.col("__before") + F.col("__place"))
     chosen = F.filter("__plan", lambda s: (s["__from"] <= F.col("__rank")) & (F.col("__rank") < s["__to"]))[0]
-    return (
+    found = (
         ranked.join(F.broadcast(table), "__arc")  # at most two entries for each ring point and step that fills a shard
         .withColumn("__hit", chosen)
         .withColumn("shard", F.col("__hit.shard"))
         .withColumn("slot", F.col("__hit.__base") + F.col("__rank") - F.col("__hit.__from"))
-        .drop("__pos", "__arc", "__rank", "__plan", "__hit")
     )
+    return restored(found, "shard", "slot")
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
