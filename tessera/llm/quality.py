@@ -2,7 +2,10 @@
 
 The suffix array of all texts of a slice is built at once by prefix doubling: a word's first rank is that of its text
 and its hash, so suffixes of different texts never tie, and a round only looks at suffixes that still do. The ranks
-of every round are kept; descending through them gives the longest common prefix (LCP) of neighbours.
+of every round are kept; descending through them gives the longest common prefix (LCP) of neighbours. The rules ask for
+no repeat longer than MAX_REPEAT + 1 words, so they compare suffixes over the next power of two only: eight rounds,
+whatever the text repeats, and LCPs beyond count as that. Words are covered by all their repeats of MIN_REPEAT words,
+which is the same for longer ones. `repeats`, which reports repeats, compares whole suffixes.
 
 An LCP interval is a run of neighbours that share a prefix of some length, no longer run sharing it: its prefix is a
 repeat that can't be extended to the right without losing an occurrence. Deeper intervals lie inside; a suffix's
@@ -35,14 +38,18 @@ _BLANK = " \t\n\x0b\x0c\r"
 
 
 class SuffixArray:
-    """order: suffixes (word numbers) text by text, ascending by rank; lcp[r]: words that order[r-1] and order[r] share."""
+    """order: suffixes (word numbers) text by text, ascending by rank; lcp[r]: words that order[r-1] and order[r] share.
 
-    def __init__(self, hashes: np.ndarray, doc: np.ndarray, first: np.ndarray):
+    depth: how many words of the suffixes are compared at least (None: all); those that still tie are in any order.
+    """
+
+    def __init__(self, hashes: np.ndarray, doc: np.ndarray, first: np.ndarray, depth: int | None = None):
         n = len(hashes)
         end = first[1:][doc] if n else np.zeros(0, np.int64)
-        rank = self._dense(np.lexsort((hashes, doc)), doc, hashes)
+        kind = np.int32 if n < 1 << 31 else np.int64
+        rank = self._dense(np.lexsort((hashes, doc)), doc, hashes).astype(kind)
         levels, step = [rank], 1
-        while True:
+        while depth is None or step < depth:
             tied = np.flatnonzero(np.bincount(rank, minlength=n)[rank] > 1) if n else np.zeros(0, np.int64)
             if not len(tied):
                 break
@@ -50,7 +57,7 @@ class SuffixArray:
             inside = after < end[tied]
             second = np.where(inside, rank[np.minimum(after, n - 1)], -1)
             order = tied[np.lexsort((second, rank[tied]))]
-            full = np.full(n, -1, np.int64)
+            full = np.full(n, -1, kind)
             full[tied] = second
             a, b = rank[order], full[order]
             new_group = np.ones(len(order), bool)
@@ -64,8 +71,7 @@ class SuffixArray:
             rank[order] = a + value_at - group_at
             levels.append(rank)
             step *= 2
-        self.order = np.empty(n, np.int64)
-        self.order[rank] = np.arange(n)
+        self.order = np.argsort(rank, kind="stable")
         self.lcp = np.zeros(n, np.int64)
         if n > 1:
             i, j = self.order[:-1], self.order[1:]
@@ -140,7 +146,7 @@ def measure(texts: list[str]) -> dict[str, np.ndarray]:
     """The columns of `quality_rules` for some texts."""
     words = Words(texts)
     n = words.counts()
-    deepest = SuffixArray(words.hashes(), words.doc, words.first).deepest()
+    deepest = SuffixArray(words.hashes(), words.doc, words.first, MAX_REPEAT + 1).deepest()
     end = words.first[1:][words.doc] if len(deepest) else np.zeros(0, np.int64)
     edge = np.zeros(len(deepest) + 1, np.int64)
     at = np.flatnonzero(deepest >= WINDOW)

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -67,3 +68,27 @@ def test_a_long_repeat_is_rejected():
     m = Q.measure([" ".join(words), " ".join(words + words[:101]), " ".join(words + words[:100]), " ".join(words[:100] + words[:20] + words[:20] + words[:20] + words[:20])])
     assert list(m["kept"]) == [True, False, True, False]
     assert list(m["long_repeat"]) == [False, True, False, False]
+
+
+def test_ten_megabytes_of_one_word():
+    """Memory follows the text, not what it repeats: eight arrays of ranks at most."""
+    text = "same word " * 1_000_000
+    tracemalloc.start()
+    got = Q.measure([text, "a b c"])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got["n_words"].tolist() == [2_000_000, 3] and got["n_covered_words"].tolist() == [2_000_000, 0] and got["long_repeat"].tolist() == [True, False]
+    assert got["n_repeat_words"].tolist() == [2_000_000, 0] and peak < 500e6, peak
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_a_bounded_depth_gives_the_same_verdicts(seed):
+    draw = random.Random(seed)
+    words = [draw.choice("abc") for _ in range(60)]
+    text = " ".join(words + ["x"] + words * draw.randint(1, 4) + words[: draw.randint(0, 50)])
+    w = Words([text, "a b " * 80])
+    h = w.hashes()
+    full, some = (Q.SuffixArray(h, w.doc, w.first, d).deepest() for d in (None, Q.MAX_REPEAT + 1))
+    assert (np.minimum(full, 128) == np.minimum(some, 128)).all() and (some <= full).all()
+    end = w.first[1:][w.doc]
+    assert (Q.covered(full, 10, end) == Q.covered(some, 10, end)).all()
