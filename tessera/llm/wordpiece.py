@@ -4,7 +4,7 @@ A word's pieces are the longest known word beginning, then again and again the l
 that can't be cut so counts as one unknown token. A node of the trie that has no edge for the next byte falls back along
 its failure link, and what it has matched so far is popped as a fixed number of pieces; these numbers are worked out
 once, when the automaton is built, so that a text costs one table look-up for each byte and no piece is ever built.
-All words of a batch run in step.
+All words of a batch run in step; the few that are longer than LONG bytes are then run to their ends one by one.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tessera.llm.arrow import Words, slices, small_batches, sums_by
 
 MARK = "▁"
+LONG = 256
 
 
 @lru_cache(maxsize=2)
@@ -97,11 +98,21 @@ class Automaton:
         start, left = words.start[order], np.bincount(size, minlength=1)
         state, seen = np.full(len(order), self.BEGIN, np.int32), np.zeros(len(order), np.int64)
         live = len(order)
-        for k in range(int(size.max()) if len(size) else 0):
+        for k in range(min(int(size.max()), LONG) if len(size) else 0):
             live -= left[k]  # words of k bytes end here
             at = state[:live].astype(np.int64) * 256 + words.data[start[:live] + k]
             seen[:live] += self.pops[at]
             state[:live] = self.follow[at]
+        follow, pops, data = memoryview(self.follow), memoryview(self.pops), memoryview(words.data)
+        for i in range(int((size > LONG).sum())):
+            at, popped, begin = int(state[i]), 0, int(start[i])
+            for b in data[begin + LONG : begin + int(size[order[i]])]:
+                edge = at * 256 + b
+                popped += pops[edge]
+                at = follow[edge]
+                if not at:  # dead: no cut
+                    break
+            state[i], seen[i] = at, seen[i] + popped
         end = self.at_end[state]
         out = np.empty(len(order), np.int64)
         out[order] = np.where(end < 0, -1, seen + end)

@@ -63,3 +63,15 @@ def test_edges(spark, rows):
     df = spark.createDataFrame(rows, "doc_id long, text string, n_words string")
     got = sorted(tuple(r) for r in W.count_tokens(spark, df, PATH).na.fill(-1).collect())
     assert got == sorted([(-1, 2, 2, 0), (1, 0, 0, 0), (1, 0, 0, 0), (1, 0, 0, 0)] if rows else [])
+
+
+def test_long_words(spark):
+    """Words of megabytes, beside many short ones; one dies at once, one near its end."""
+    begin, rest = W.pieces(PATH)
+    long = "ab" * 2_500_000
+    words = [long, long + "\U0010ffff", "the", "x" * 300, "\U0010ffff" * 1000, "y" * 256, "z" * 257]
+    got = W.automaton(PATH).count(Words([" ".join(words)])).tolist()
+    short = {w: greedy(w, set(begin), set(rest)) for w in words[2:]}
+    assert got[2:] == [short[w] for w in words[2:]] and got[1] == -1
+    few = [greedy("ab" * k, set(begin), set(rest)) for k in (50, 100)]
+    assert got[0] == few[0] + (few[1] - few[0]) * (2_500_000 - 50) // 50
