@@ -1,7 +1,9 @@
 """Typed tables over a record store: predicates, writes, vector columns, hybrid queries, and a report with every answer.
 
-Reads are Spark plans over the typed records; Catalyst pushes the predicates into the scan of the snapshot. Layout
-decisions are recorded in the catalog and named in the reports; they never change an answer. Results come in key order.
+Reads are Spark plans over the typed columns of the store's snapshot, with the log's later entries laid over it, so
+that predicates and column lists reach the scan. A column may have a layout of its own (operators.layouts): it answers
+keys and counts without the records, and the records of a few keys are then read by key. Layouts never change an answer,
+and reports say what was read. Results come in key order.
 """
 
 from __future__ import annotations
@@ -10,6 +12,7 @@ import json
 import uuid
 from collections.abc import Iterable
 from dataclasses import dataclass, replace
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -20,15 +23,14 @@ from tessera.functions.schema import ColumnDef, Record, Schema
 from tessera.functions.types import IndexKind, KeyEncoding, LogicalType, Metric, PlanKind, VectorStructure
 from tessera.operators import bitmaps
 from tessera.operators.ann import EF_SEARCH, CellIndex
+from tessera.operators.layouts import KEY, LEARNED, Layout, measured
 from tessera.operators.vectors import check_query, normalised, search
 from tessera.plans import planner as P
-from tessera.plans.catalog import ColumnShape, IndexCatalog, IndexPlan, check_kind, measure_shape, timed
+from tessera.plans.catalog import ColumnShape, IndexCatalog, IndexPlan, check_kind, fingerprinted, measure_shape
 from tessera.sources import shared
 from tessera.sources.files import ranked, write_fvecs
 from tessera.sources.store import RecordStore
 
-KEY = "_key"
-
 
 @dataclass(frozen=True)
 class VectorPlan:
@@ -141,8 +143,7 @@ class Table:
             raise ValueError("the stored schema has columns that the new one drops or retypes")
         self.schema = store.schema = schema
         self.catalog = IndexCatalog.load(self._path("catalog.json"))
-        self._indexed: dict[str, IndexPlan] = {}
-        self._dirty: set[str] = set()
+        self._layouts: dict[str, Layout] = {}
         self._rebuilds = 0
         self._vectors = {c.name: VectorColumn(self.spark, c) for c in schema.vector_columns()}
         self._load_vectors()
@@ -206,9 +207,8 @@ class Table:
         return {r[0] for r in self.store.keys().join(F.broadcast(wanted), "key", "left_semi").collect()}  # no more than were passed in
 
     def _written(self, rows: int, created: int) -> WriteResult:
-        rebuilt = len(self._indexed)
-        self._dirty.update(self._indexed)
-        return WriteResult(created > 0, rows, created, rebuilt, 0)
+        """Layouts stay as they are: the log says what has changed since."""
+        return WriteResult(created > 0, rows, created, len(self._layouts), 0)
 
     def update(self, key: int, changes: dict[str, str]) -> WriteResult:
         """Sets the named columns; the others stay. A key that isn't there is an error."""
@@ -231,58 +231,122 @@ class Table:
 
     # queries
 
-    def _trace(self, p: Predicate, rows: int) -> P.QueryTrace:
-        plan = self._indexed.get(p.column)
-        if not op_is_indexable(p.op):
-            return P.QueryTrace(f"no order helps {p.op.value!r}; all rows are read", False, rows)
-        if plan is None:
-            return P.QueryTrace(f"{p.column!r} has no layout of its own; all rows are read", False, rows)
-        return P.QueryTrace(f"{p.column!r} is laid out as {plan.kind.value} ({plan.encoding.value})", True, 0)
-
-    def _counts(self, condition) -> tuple[int, int]:
-        """(all rows, rows for which a condition holds), in one pass."""
-        return tuple(self.frame().agg(F.count("*"), F.count_if(condition)).first())
+    POINTS = 1000  # records that are read by key, one condition on the snapshot's sorted keys
+
+    def _layout(self, column: str) -> Layout | None:
+        """The column's layout, built anew if the log no longer reaches back to it."""
+        layout = self._layouts.get(column)
+        if layout is not None and layout.lsn != self.store.lsn() and layout.lsn <= self.store.since():
+            self.rebuild(column)
+        return self._layouts.get(column)
+
+    def _served(self, p: Predicate) -> Layout | None:
+        p.check(self.schema)
+        return self._layout(p.column) if op_is_indexable(p.op) else None
+
+    def _changed(self, layout: Layout) -> DataFrame | None:
+        """(_key and the scalars, _gone) of the keys written since the layout was built."""
+        new = self.store.changes(layout.lsn - 1)
+        return None if new is None else self.schema.typed(new).join(new.select(F.col("key").alias(KEY), F.col("payload").isNull().alias("_gone")), KEY)
+
+    def _laid_over(self, keys: DataFrame, changed: DataFrame | None, condition) -> DataFrame:
+        """keys (_key) of a layout, with what has changed since."""
+        if changed is None:
+            return keys
+        return keys.join(changed.select(KEY), KEY, "left_anti").unionByName(changed.filter(~F.col("_gone") & condition).select(KEY))
+
+    def _found(self, p: Predicate) -> tuple[DataFrame, P.QueryTrace]:
+        """Keys that match a predicate, unordered, and the report."""
+        condition, layout = p.compile(self.schema), self._served(p)
+        if layout is None:
+            why = f"no order helps {p.op.value!r}" if not op_is_indexable(p.op) else f"{p.column!r} has no layout of its own"
+            rows = self.frame().filter(condition)
+            return rows.select(KEY), P.QueryTrace(f"{why}: the records are scanned", False, self.__len__, rows.count)
+        changed = self._changed(layout)
+        keys = self._laid_over(layout.keys(p), changed, condition)
+        matched = (lambda: layout.count(p)) if changed is None else keys.count
+        said = f"{p.column!r} is laid out as {layout.plan.kind.value} ({layout.plan.encoding.value})"
+        return keys, P.QueryTrace(said + (", with later writes over it" if changed is not None else ""), True, 0 if changed is None else changed.count, matched)
+
+    def _records(self, condition, keys: DataFrame, trace: P.QueryTrace) -> DataFrame:
+        """The records that fulfil a condition: by key, if a layout has found a few, else by a scan of the columns."""
+        if trace.used_index:
+            few = [r[0] for r in keys.limit(self.POINTS + 1).collect()]
+            if len(few) <= self.POINTS:
+                trace.reason += "; the records are read by key"
+                return self.store.typed(self.schema, F.col("key").isin(few)).filter(condition)
+            trace.reason += f"; more than {self.POINTS} records: their columns are scanned"
+        return self.frame().filter(condition)
 
     def select(self, column, op=None, value=None, value2=None) -> tuple[DataFrame, P.QueryTrace]:
         p = column if isinstance(column, Predicate) else Predicate.of((column, op, value, value2))
-        condition = p.compile(self.schema)
-        rows, matched = self._counts(condition)
-        trace = self._trace(p, rows)
-        trace.matched = matched
-        return self.frame().filter(condition).orderBy(KEY), trace
+        keys, trace = self._found(p)
+        return self._records(p.compile(self.schema), keys, trace).orderBy(KEY), trace
 
     def select_keys(self, column, op=None, value=None, value2=None) -> tuple[DataFrame, P.QueryTrace]:
-        rows, trace = self.select(column, op, value, value2)
-        return rows.select(KEY), trace
+        keys, trace = self._found(column if isinstance(column, Predicate) else Predicate.of((column, op, value, value2)))
+        return keys.orderBy(KEY), trace
 
     def count(self, column, op=None, value=None, value2=None) -> int:
-        p = column if isinstance(column, Predicate) else Predicate.of((column, op, value, value2))
-        return self.frame().filter(p.compile(self.schema)).count()
+        return self._found(column if isinstance(column, Predicate) else Predicate.of((column, op, value, value2)))[1].matched
 
-    def _combined(self, predicates, condition, empty: str) -> tuple[DataFrame, P.QueryTrace]:
-        predicates = [Predicate.of(p) for p in predicates]
-        test = condition(predicates, self.schema)
-        total, matched = self._counts(test)
-        rows = self.frame().filter(test)
+    def estimate(self, column, op=None, value=None, value2=None) -> int:
+        """How many rows a predicate can match: exact from a bitmap without later writes, else all rows."""
+        p = column if isinstance(column, Predicate) else Predicate.of((column, op, value, value2))
+        layout = self._served(p)
+        exact = layout is not None and layout.plan.kind == IndexKind.BITMAP and self._changed(layout) is None
+        return layout.count(p) if exact else len(self)
+
+    def _bitmap_conjunction(self, predicates: list[Predicate]) -> list[Layout] | None:
+        """The layouts, if every predicate can be answered by bitmaps that were built at the same place in the log."""
+        layouts = [self._served(p) for p in predicates]
+        fit = layouts and all(x is not None and x.plan.kind == IndexKind.BITMAP for x in layouts) and len({x.lsn for x in layouts}) == 1
+        return layouts if fit else None
+
+    def _all(self, predicates: list[Predicate]) -> tuple[DataFrame, P.QueryTrace, bool]:
+        """Keys of the rows for which all hold, unordered; the report; whether bitmaps have answered alone."""
+        test = all_of(predicates, self.schema)
         if not predicates:
-            return rows.orderBy(KEY), P.QueryTrace(empty, False, total, matched)
-        traces = [self._trace(p, total) for p in predicates]
-        used = any(t.used_index for t in traces)
-        scanned = max(t.scanned for t in traces)
-        return rows.orderBy(KEY), P.QueryTrace("one pass tests all conditions: " + "; ".join(t.reason for t in traces), used, scanned, matched)
+            return self.frame().select(KEY), P.QueryTrace("no condition: every row", False, self.__len__, self.__len__), False
+        if len(predicates) == 1:
+            keys, trace = self._found(predicates[0])
+            return keys, trace, self._bitmap_conjunction(predicates) is not None
+        if layouts := self._bitmap_conjunction(predicates):
+            both = bitmaps.intersection(*(x.operand(p) for x, p in zip(layouts, predicates, strict=True)))
+            changed = self._changed(layouts[0])
+            keys = self._laid_over(bitmaps.keys(both).withColumnRenamed("key", KEY), changed, test)
+            matched = (lambda: bitmaps.count(both).first()[0]) if changed is None else keys.count
+            return keys, P.QueryTrace(f"{len(predicates)} bitmaps are intersected", True, 0 if changed is None else changed.count, matched), True
+        served = [(t.matched, p, k) for p in predicates if self._served(p) is not None for k, t in [self._found(p)]]
+        least = min(served, key=lambda x: x[0], default=None)
+        if least is not None and least[0] <= self.POINTS:
+            n, p, found = least
+            rows = self.store.typed(self.schema, F.col("key").isin([r[0] for r in found.collect()])).filter(test)
+            return rows.select(KEY), P.QueryTrace(f"{p.column!r} is the most selective: its {n} records are read by key and tested", True, n, rows.count), False
+        rows = self.frame().filter(test)
+        return rows.select(KEY), P.QueryTrace("one scan tests all conditions", False, self.__len__, rows.count), False
 
     def select_all_records(self, predicates) -> tuple[DataFrame, P.QueryTrace]:
         """Rows for which all hold; none given: every row."""
-        return self._combined(predicates, all_of, "no condition: every row")
+        predicates = [Predicate.of(p) for p in predicates]
+        keys, trace, _ = self._all(predicates)
+        return self._records(all_of(predicates, self.schema), keys, trace).orderBy(KEY), trace
 
     def select_all(self, predicates) -> tuple[DataFrame, P.QueryTrace]:
-        rows, trace = self.select_all_records(predicates)
-        return rows.select(KEY), trace
+        keys, trace, _ = self._all([Predicate.of(p) for p in predicates])
+        return keys.orderBy(KEY), trace
 
     def select_any(self, predicates) -> tuple[DataFrame, P.QueryTrace]:
         """Rows for which one holds; none given: no row."""
-        rows, trace = self._combined(predicates, any_of, "no condition: no row")
-        return rows.select(KEY), trace
+        predicates = [Predicate.of(p) for p in predicates]
+        test = any_of(predicates, self.schema)
+        if predicates and all(self._served(p) is not None for p in predicates):
+            found = [self._found(p) for p in predicates]
+            keys = reduce(DataFrame.unionByName, (k for k, _ in found)).distinct()
+            return keys.orderBy(KEY), P.QueryTrace("; ".join(t.reason for _, t in found), True, lambda: max(t.scanned for _, t in found), keys.count)
+        rows = self.frame().filter(test)
+        why = "one scan tests all conditions" if predicates else "no condition: no row"
+        return rows.select(KEY).orderBy(KEY), P.QueryTrace(why, False, self.__len__, rows.count)
 
     def scan(self, limit: int = 0, offset: int = 0) -> DataFrame:
         """Records in key order; limit 0 means all."""
@@ -294,22 +358,19 @@ class Table:
     def _shape(self, column: str) -> ColumnShape:
         return measure_shape(self.frame(), column, KEY)
 
-    def _measure(self, column: str):
-        rows = self.frame().select(KEY, column).filter(F.col(column).isNotNull())
+    def _values(self, column: str) -> DataFrame:
+        return self.frame().select(KEY, F.col(f"`{column}`").alias("value")).filter("value is not null")
 
-        def measure(plan: IndexPlan) -> IndexPlan:
-            if plan.kind == IndexKind.BITMAP:
-                built = bitmaps.build(rows, column, KEY).persist()
-            else:
-                built = rows.sort(column, KEY).persist()
-            n = built.count()
-            probe = rows.select(column).first()
-            value = F.col("value" if plan.kind == IndexKind.BITMAP else column)
-            ns = timed(lambda: built.filter(value == (probe[0] if probe else None)).count())
-            built.unpersist()
-            return replace(plan, ns_per_lookup=ns, ns_per_write=ns * plan.merge_ratio, index_bytes=n * (4096 if plan.kind == IndexKind.BITMAP else 16))
+    def _measure(self, column: str):
+        rows, made = shared.kept(self.spark, self._values(column), "values"), {}
+        return lambda plan: measured(self.spark, rows, plan, self._path("measured"), made)
 
-        return measure
+    def _lay(self, column: str, plan: IndexPlan) -> None:
+        """Writes the layout of a plan and lets go of the one before."""
+        old = self._layouts.get(column)
+        self._layouts[column] = Layout.build(self.spark, self._values(column), plan, self._path(f"layout-{uuid.uuid4().hex}"), self.store.lsn())
+        if old is not None:
+            old.drop()
 
     def _scalar(self, column: str) -> ColumnDef:
         c = self.schema.column(column)
@@ -318,50 +379,60 @@ class Table:
         return c
 
     def create_index(self, column: str, write_fraction: float = 0.0) -> ColumnInfo:
+        """Chooses a layout by measuring those that can serve the column, unless the catalog knows, and writes it."""
         c, shape = self._scalar(column), self._shape(column)
-        self._indexed[column], _ = self.catalog.build_column(column, c.type, shape, self._measure(column), write_fraction)
-        self._dirty.discard(column)
+        plan, _ = self.catalog.build_column(column, c.type, shape, self._measure(column), write_fraction)
+        shared.delete(self._path("measured"), self.spark)
+        self._lay(column, plan)
         return self.info(column)
 
     def create_index_as(self, column: str, kind: IndexKind, write_fraction: float = 0.0) -> ColumnInfo:
         c, shape, kind = self._scalar(column), self._shape(column), IndexKind(kind)
         check_kind(c.type, kind, shape.unique)
         encoding = KeyEncoding.DICTIONARY if kind == IndexKind.BITMAP else KeyEncoding.NATIVE if shape.unique else KeyEncoding.COMPOSITE
-        plan = replace(self._measure(column)(IndexPlan(kind, c.type, encoding)), n_keys=shape.rows, distinct=shape.distinct, monotone=shape.monotone, write_fraction=write_fraction)
-        self._indexed[column] = plan
+        plan = IndexPlan(kind, c.type, encoding, rmi_models=max(1, min(IndexPlan.rmi_models, shape.rows)))
+        plan = fingerprinted(replace(self._measure(column)(plan), write_fraction=write_fraction), shape)
+        shared.delete(self._path("measured"), self.spark)
+        self._lay(column, plan)
         self.catalog.set(column, plan)
-        self._dirty.discard(column)
         return self.info(column)
 
     def drop_index(self, column: str) -> bool:
         self.catalog.erase(column)
-        return self._indexed.pop(column, None) is not None
+        layout = self._layouts.pop(column, None)
+        if layout is not None:
+            layout.drop()
+        return layout is not None
 
     def has_index(self, column: str) -> bool:
-        return column in self._indexed
+        return column in self._layouts
 
     def explain_column(self, column: str) -> IndexPlan | None:
-        return self._indexed.get(column) or self.catalog.get(column)
+        return self._layouts[column].plan if column in self._layouts else self.catalog.get(column)
 
     def freshness(self, column: str) -> str:
         return self.catalog.freshness(column, self._shape(column))
 
     def rebuild(self, column: str) -> None:
-        if column not in self._indexed:
+        """Writes the layout anew, as sorted pairs if the values no longer allow what it was."""
+        if column not in self._layouts:
             raise KeyError(f"{column!r} has no index")
-        shape = self._shape(column)
-        self._indexed[column] = replace(self._indexed[column], n_keys=shape.rows, distinct=shape.distinct, monotone=shape.monotone)
-        self.catalog.set(column, self._indexed[column])
-        self._dirty.discard(column)
+        shape, plan = self._shape(column), fingerprinted(self._layouts[column].plan, self._shape(column))
+        if plan.kind in LEARNED and not shape.unique:
+            plan = replace(plan, kind=IndexKind.BTREE, encoding=KeyEncoding.COMPOSITE)
+        self._lay(column, plan)
+        self.catalog.set(column, plan)
         self._rebuilds += 1
 
     def rebuilds(self) -> int:
         return self._rebuilds
 
     def info(self, column: str) -> ColumnInfo:
-        c, shape, plan = self._scalar(column), self._shape(column), self._indexed.get(column)
+        c, shape, layout = self._scalar(column), self._shape(column), self._layouts.get(column)
+        plan = None if layout is None else layout.plan
+        dirty = layout is not None and layout.lsn != self.store.lsn()
         extra = {} if plan is None else {"kind": plan.kind, "encoding": plan.encoding, "index_bytes": plan.index_bytes, "ns_per_lookup": plan.ns_per_lookup}
-        return ColumnInfo(column, c.type, plan is not None, shape.rows, len(self) - shape.rows, shape.distinct, shape.unique, shape.monotone, column in self._dirty, **extra)
+        return ColumnInfo(column, c.type, plan is not None, shape.rows, len(self) - shape.rows, shape.distinct, shape.unique, shape.monotone, dirty, **extra)
 
     def describe(self) -> list[ColumnInfo]:
         return [self.info(c.name) for c in self.schema.scalar_columns()]
@@ -463,15 +534,10 @@ class Table:
     def _resolve(self, predicates, column: str) -> tuple[DataFrame, P.HybridTrace]:
         """Rows of the vectors whose records match, and the report so far; one pass counts both."""
         v = self._vector(column)
-        predicates = [Predicate.of(p) for p in predicates]
-        test = all_of(predicates, self.schema)
-        total = self._counts(test)[0]
-        rows = self.frame().filter(test).select(KEY)
-        joined = rows.join(v.live().select(KEY, "_vrow"), KEY, "left")
+        keys, structured, mask = self._all([Predicate.of(p) for p in predicates])
+        joined = keys.join(v.live().select(KEY, "_vrow"), KEY, "left")
         matched, without = joined.agg(F.count("*"), F.coalesce(F.sum(F.col("_vrow").isNull().cast("long")), F.lit(0))).first()
-        traces = [self._trace(p, total) for p in predicates]
-        mask = bool(predicates) and all(p.column in self._indexed and self._indexed[p.column].kind == IndexKind.BITMAP and op_is_indexable(p.op) for p in predicates)
-        trace = P.QueryTrace("; ".join(t.reason for t in traces), any(t.used_index for t in traces), max([0, *(t.scanned for t in traces)]), matched)
+        trace = P.QueryTrace(structured.reason, structured.used_index, lambda: structured.scanned, matched)
         return joined.filter("_vrow is not null").select("_vrow"), P.HybridTrace(trace, P.QueryPlan(), without, mask)
 
     def explain_hybrid(self, predicates, column: str, k: int = 10) -> P.HybridTrace:
@@ -511,7 +577,7 @@ class Table:
         if kind == PlanKind.FILTERED_GRAPH:
             return has_graph
         if kind == PlanKind.BITMAP_FILTERED_GRAPH:
-            return has_graph and self._resolve(predicates, column)[1].mask_used
+            return has_graph and self._bitmap_conjunction([Predicate.of(p) for p in predicates]) is not None
         return True
 
     def calibrate(self, column: str, queries, k: int = 10, ef: int = 0, samples: int = 12) -> float:
@@ -557,8 +623,15 @@ class Table:
         self.catalog.save(self._path("catalog.json"))
 
     def checkpoint(self) -> None:
+        """Writes everything as a new snapshot; layouts without later writes go on, the others are built anew."""
         self.save()
+        current = [c for c, x in self._layouts.items() if x.lsn == self.store.lsn()]
         self.store.checkpoint()
+        for column in list(self._layouts):
+            if column in current:
+                self._layouts[column].lsn = self.store.lsn()
+            else:
+                self.rebuild(column)
 
     def validate(self) -> None:
         """Every stored text is a value of its column, and every live vector has a record; else an error."""

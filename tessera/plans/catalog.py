@@ -2,7 +2,7 @@
 
 The kinds keep their names (btree, rmi, dynamic_rmi, bitmap); on Spark a btree is a range-partitioned, sorted table
 (row groups are skipped by their least and greatest value), a bitmap a table of bitmaps by value, an rmi a sorted table
-with fitted positions. Answers never depend on the choice.
+with fitted positions (see operators.layouts). Answers never depend on the choice.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ import time
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, replace
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.types import IndexKind, KeyEncoding, LogicalType, type_is_ordered, type_supports_rmi
@@ -32,6 +32,8 @@ class ColumnShape:
     distinct: int = 0
     unique: bool = False
     monotone: bool = False
+    key_min: int = 0  # marks of the least and the greatest value
+    key_max: int = 0
 
     def duplicate_fraction(self) -> float:
         return 1 - self.distinct / self.rows if self.rows else 0.0
@@ -58,8 +60,17 @@ def shape_frame(df: DataFrame, value: str, row: str) -> DataFrame:
     )
 
 
+def mark(value: Column) -> Column:
+    """A whole number that tells a value from others: the value itself, if it is one, else a hash."""
+    return F.xxhash64(value)
+
+
 def measure_shape(df: DataFrame, value: str, row: str) -> ColumnShape:
-    return ColumnShape(*shape_frame(df, value, row).first())
+    kind = dict(df.dtypes)[value]
+    of = (lambda v: v.cast("long")) if kind in ("bigint", "int", "smallint", "tinyint") else mark
+    ends = df.agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
+    ends = ends.select(*(F.when(F.col(c).isNotNull(), of(F.col(c))).otherwise(0).alias(c) for c in ("lo", "hi"))).first()
+    return ColumnShape(*shape_frame(df, value, row).select("rows", "distinct", "is_unique", "monotone").first(), *ends)
 
 
 @dataclass(frozen=True)
@@ -123,6 +134,10 @@ def check_kind(kind: LogicalType, index: IndexKind, unique: bool) -> None:
         raise ValueError("a learned layout needs unique keys")
 
 
+def fingerprinted(plan: IndexPlan, shape: ColumnShape) -> IndexPlan:
+    return replace(plan, n_keys=shape.rows, key_min=shape.key_min, key_max=shape.key_max, distinct=shape.distinct, monotone=shape.monotone)
+
+
 def blended_cost(plan: IndexPlan, write_fraction: float) -> float:
     return (1 - write_fraction) * plan.ns_per_lookup + write_fraction * plan.ns_per_write
 
@@ -172,11 +187,12 @@ class IndexCatalog:
         self._plans.clear()
 
     def freshness(self, column: str, shape: ColumnShape) -> str:
-        """missing, fresh or stale: a plan holds for as many keys and distinct values as it was made for."""
+        """missing, fresh or stale: a plan holds for as many keys and distinct values, from the same least to the same
+        greatest, as it was made for."""
         plan = self._plans.get(column)
         if plan is None:
             return "missing"
-        return "fresh" if (plan.n_keys, plan.distinct) == (shape.rows, shape.distinct) else "stale"
+        return "fresh" if plan.matches(shape.rows, shape.key_min, shape.key_max) and plan.distinct == shape.distinct else "stale"
 
     def build_column(self, column: str, kind: LogicalType, shape: ColumnShape, measure: Callable[[IndexPlan], IndexPlan], write_fraction: float = 0.0) -> tuple[IndexPlan, str]:
         """(plan, replayed | retuned | chosen). A fresh plan is taken as it is; a stale one whose layout still fits is
@@ -185,11 +201,11 @@ class IndexCatalog:
         if old is not None and old.serves(write_fraction) and self._fits(old, kind, shape):
             if self.freshness(column, shape) == "fresh":
                 return old, "replayed"
-            again = replace(measure(old), n_keys=shape.rows, distinct=shape.distinct, monotone=shape.monotone, write_fraction=write_fraction)
+            again = fingerprinted(replace(measure(old), write_fraction=write_fraction), shape)
             if again.ns_per_lookup <= self.retune_factor * old.ns_per_lookup:
                 self._plans[column] = again
                 return again, "retuned"
-        new = replace(choose(kind, shape, measure, write_fraction=write_fraction), n_keys=shape.rows)
+        new = fingerprinted(choose(kind, shape, measure, write_fraction=write_fraction), shape)
         self._plans[column] = new
         return new, "chosen"
 

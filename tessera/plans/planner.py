@@ -12,6 +12,7 @@ The decision rests on the exact number of matching rows. It is taken above Catal
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -38,12 +39,22 @@ class QueryPlan:
     reason: str = ""
 
 
-@dataclass
 class QueryTrace:
-    reason: str = ""
-    used_index: bool = False
-    scanned: int = 0
-    matched: int = 0
+    """How a query was answered: why, by a layout or not, how many rows were tested one by one, how many matched. The
+    numbers may be given as functions: they are counted when they are asked for, and once."""
+
+    def __init__(self, reason: str = "", used_index: bool = False, scanned: int | Callable[[], int] = 0, matched: int | Callable[[], int] = 0):
+        self.reason, self.used_index, self._scanned, self._matched = reason, used_index, scanned, matched
+
+    @property
+    def scanned(self) -> int:
+        self._scanned = self._scanned() if callable(self._scanned) else self._scanned
+        return self._scanned
+
+    @property
+    def matched(self) -> int:
+        self._matched = self._matched() if callable(self._matched) else self._matched
+        return self._matched
 
 
 @dataclass

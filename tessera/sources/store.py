@@ -25,7 +25,7 @@ from tessera.sources import shared
 OPS = ("put", "delete", "checkpoint")
 LOG = "lsn long, op string, key long, payload map<string,string>"
 STATE = "key long, payload map<string,string>"
-TYPED = "value of "  # and the name of a scalar: its column in a snapshot
+TYPED = "v_"  # before the name of a scalar: its column in a snapshot
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:

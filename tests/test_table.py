@@ -1,13 +1,15 @@
+import io
 import json
 import os
+from contextlib import redirect_stdout
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.functions.predicates import PredOp
+from tessera.functions.predicates import Predicate, PredOp
 from tessera.functions.schema import ColumnDef, Record, Schema
-from tessera.functions.types import IndexKind, LogicalType, Metric, PlanKind, VectorStructure
+from tessera.functions.types import IndexKind, LogicalType, Metric, PlanKind, VectorStructure, parse_value
 from tessera.operators.table import Table, VectorPlan
 from tessera.operators.vectors import FlatIndex
 from tessera.sources.files import ranked
@@ -65,6 +67,7 @@ def test_predicates_against_records(table, op, column, v, v2, test):
     found, trace = table.select_keys(column, op, v, v2)
     assert keys(found) == want and trace.matched == len(want) == table.count(column, op, v, v2)
     assert trace.scanned == N and not trace.used_index
+    assert [r["_key"] for r in table.select(column, op, v, v2)[0].collect()] == want
 
 
 def test_conjunction_disjunction_scan(table):
@@ -149,6 +152,7 @@ def test_writes_and_reopening(spark, tmp_path):
     assert t.compact_vectors("image") == 1 and keys(t.vector_keys("image")) == [4, 1]
     t.create_index("price")
     t.checkpoint()
+    assert t.freshness("price") == "fresh"
     t.put(record(7))
     assert t.freshness("price") == "stale"
     assert t.erase(4).rows_written == 1 and t.erase(4).rows_written == 0
@@ -291,3 +295,110 @@ def test_many_single_writes_keep_the_plan_short(spark, tmp_path):
     for i in range(20):
         t.put_vector(i % 3, "image", [i, 0])
     assert t._vector("image")._steps < 16 and sorted(t.get_vector(k, "image")[0] for k in range(3)) == [17, 18, 19]
+
+
+CONDITIONS = [
+    ("price", "=", 60), ("price", "=", -1), ("price", "<", 100), ("price", "<=", 60), ("price", ">", 600), ("price", ">=", 400), ("price", "between", 10, 90), ("price", "between", 90, 10),
+    ("title", "prefix", "ol"), ("title", "prefix", ""), ("title", "=", "sea"), ("title", "contains", "n l"), ("title", "is null"), ("created_at", ">", 1711929600000), ("created_at", "=", 1704069000000), ("stock", "=", 33), ("stock", "between", 10, 40), ("stock", ">", 10**6),
+]
+
+
+def matches(columns, p):
+    c, op, *v = p
+    x = columns.get(c)
+    if op == "is null":
+        return x is None
+    if x is None:
+        return False
+    kind = LAID.type_of(c)
+    x = parse_value(kind, x)
+    return {"=": lambda: x == v[0], "<": lambda: x < v[0], "<=": lambda: x <= v[0], ">": lambda: x > v[0], ">=": lambda: x >= v[0], "between": lambda: v[0] <= x <= v[1], "prefix": lambda: x.startswith(v[0]), "contains": lambda: v[0] in x}[op]()
+
+
+LAID = Schema([ColumnDef("price", L.INT64), ColumnDef("title", L.STRING), ColumnDef("created_at", L.TIMESTAMP), ColumnDef("stock", L.INT64)])
+
+
+def plan_of(df):
+    with redirect_stdout(out := io.StringIO()):
+        df.explain("formatted")
+    return out.getvalue()
+
+
+def test_layouts_answer_as_the_records_do(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(Table, "POINTS", 8)
+    t = Table(RecordStore(spark, str(tmp_path / "s")), LAID)
+    state = {i: {k: v for k, v in record(i).columns.items() if k != "category"} | {"stock": str(i * i - 40 * i)} for i in range(80)}
+    state = {k: v for k, v in state.items() if k < 21 or k > 40}  # stock is unique
+    t.put_batch(Record(k, v) for k, v in state.items())
+    t.checkpoint()
+    kinds = {"price": IndexKind.BITMAP, "title": IndexKind.BTREE, "created_at": IndexKind.BTREE, "stock": IndexKind.RMI}
+
+    def check(over, step=4):
+        for p in CONDITIONS[::step]:
+            want = sorted(k for k, c in state.items() if matches(c, p))
+            found, trace = t.select_keys(*p)
+            rows, _ = t.select(*p)
+            assert keys(found) == want == keys(rows.select("_key")) and trace.matched == len(want) == t.count(*p), (p, trace.reason)
+            indexed = p[1] not in ("contains", "is null")
+            assert trace.used_index == (indexed and p[0] in kinds) and trace.scanned == (len(state) if not trace.used_index else over), (p, trace.reason)
+        for some in ([("price", ">=", 10), ("title", "prefix", "o")], [("price", "<", 500), ("price", ">", 100)], [("stock", "between", 0, 50), ("title", "prefix", "g"), ("created_at", "is null")])[: 3 if step == 1 else 2]:
+            both = sorted(k for k, c in state.items() if all(matches(c, p) for p in some))
+            any_ = sorted(k for k, c in state.items() if any(matches(c, p) for p in some))
+            assert keys(t.select_all(some)[0]) == both == [r["_key"] for r in t.select_all_records(some)[0].collect()] and keys(t.select_any(some)[0]) == any_, some
+
+    for c, kind in kinds.items():
+        info = t.create_index_as(c, kind)
+        assert info.kind == kind and info.index_bytes > 0 and info.ns_per_lookup > 0 and not info.dirty
+    check(0, 1)
+    assert "intersected" in t.select_all([("price", "<", 500), ("price", ">", 100)])[1].reason
+    assert "most selective" in t.select_all([("stock", "=", 33), ("title", "prefix", "o")])[1].reason
+    assert t.estimate("price", "<", 100) == t.count("price", "<", 100) and t.estimate("title", "=", "sea") == len(state) == t.estimate("price", "is null")
+    # writes lie over the layouts until the next checkpoint
+    for r in (Record(3, {"price": "60", "title": "sea", "stock": "999999"}), Record(500, {"price": "60"}), Record(7, {})):
+        state[r.key] = r.columns
+        t.put(r)
+    t.erase(12)
+    del state[12]
+    assert t.info("price").dirty and t.rebuilds() == 0
+    check(4)
+    t.checkpoint()
+    assert t.rebuilds() == 4 and not t.info("price").dirty
+    t.put(Record(8, {"price": "61", "stock": "999999"}))  # no longer unique
+    state[8] = {"price": "61", "stock": "999999"}
+    t.store.checkpoint()  # behind the table's back: the log is gone
+    check(0)
+    assert t.explain_column("stock").kind == IndexKind.BTREE and t.rebuilds() > 4
+    folders = [f for f in os.listdir(t.store.path) if f.startswith("layout-")]
+    assert len(folders) == 4 and all(t.drop_index(c) for c in kinds) and not [f for f in os.listdir(t.store.path) if f.startswith("layout-")]
+
+
+def test_predicates_reach_the_scan_of_a_table(spark, tmp_path):
+    t = Table(RecordStore(spark, str(tmp_path / "s")), LAID)
+    t.put_frame(spark.range(3000).select(F.col("id").alias("key"), F.create_map(F.lit("price"), (F.col("id") % 100).cast("string"), F.lit("title"), F.concat(F.lit("t"), "id"), F.lit("stock"), (F.col("id") * 7).cast("string")).alias("payload")))
+    t.checkpoint()
+    plan = plan_of(t.select("price", ">", 90)[0])
+    assert "GreaterThan(v_price,90)" in plan and "payload" not in plan, plan
+    t.create_index_as("stock", "rmi")
+    layout = t._layouts["stock"]
+    first, last = layout.window(700)
+    assert first <= 100 <= last < 200 and layout.window(700)[1] - first < 3000
+    plan = plan_of(layout.keys(Predicate.of(("stock", "=", 700))))
+    assert f"GreaterThanOrEqual(pos,{first})" in plan and f"LessThanOrEqual(pos,{last})" in plan, plan
+    assert "PushedFilters: [IsNotNull(key)" in plan_of(t.select("stock", "=", 700)[0]) or "EqualTo(key,100)" in plan_of(t.select("stock", "=", 700)[0])
+    t.create_index_as("title", "btree")
+    assert "StringStartsWith(value,t12)" in plan_of(t.select_keys("title", "prefix", "t12")[0])
+    t.create_index_as("price", "bitmap")
+    assert "LessThan(value,5)" in plan_of(t.select_keys("price", "<", 5)[0]) and t.count("price", "<", 5) == 150
+
+
+def test_a_choice_is_measured_and_replayed(spark, tmp_path):
+    t = Table(RecordStore(spark, str(tmp_path / "s")), LAID)
+    t.put_batch(Record(i, {"price": str(i % 5), "stock": str(i * i)}) for i in range(100))
+    info = t.create_index("price")
+    assert info.indexed and info.kind in (IndexKind.BITMAP, IndexKind.BTREE) and t.explain_column("price").ns_per_lookup > 0
+    before = t.explain_column("price")
+    assert t.create_index("price").indexed and t.explain_column("price") == before  # replayed
+    assert keys(t.select_keys("price", "=", 3)[0]) == list(range(3, 100, 5))
+    t.put(Record(99, {"price": "77"}))
+    assert t.freshness("price") == "stale" and t.create_index("price").indexed and t.freshness("price") == "fresh"
+    assert t.explain_column("price").key_max == 77 and not [f for f in os.listdir(t.store.path) if f == "measured"]
