@@ -60,12 +60,14 @@ def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids in place of the text; round_trip: decoding them gives it back."""
+    """Token ids in place of the text, and the bytes of the text (as it then was) that each comes from: starts, ends;
+    round_trip: decoding the ids gives the text back."""
     import public_tokenizers
 
     found = pieces.encode_pieces(spark, docs, public_tokenizers.path("piece_bpe_32k.model"))
-    rest = [c for c in docs.columns if c not in ("text", "ids", "n_tokens", "round_trip")]
-    return found.select(*rest, "ids", F.size("ids").alias("n_tokens"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+    made = ("ids", "starts", "ends")
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("text", *made, "n_tokens", "round_trip")]
+    return found.select(*rest, *made, F.size("ids").alias("n_tokens"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
 
 
 STAGES = [
