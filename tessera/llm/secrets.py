@@ -288,7 +288,7 @@ def corpus_shape(df: DataFrame, text: str) -> tuple[float, float, float]:
     """(sum of squares, sum of cubes of the letter frequencies, share of steps that change between kinds) of all runs of
     12 to 19 characters of all texts, mixed with PRIOR_WEIGHT letters and steps of PRIOR."""
     runs = F.regexp_replace(F.array_join(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(CONTROL), F.lit(0)), "\n"), "[^A-Za-z0-9\n]", "")
-    some = df.select(runs.alias("r")).filter("r <> ''").withColumn("low", F.lower("r"))
+    some = df.select(runs.alias("r")).withColumn("low", F.lower("r"))  # no filter: it would search the texts once more
     steps, changes = "[A-Za-z0-9](?=[A-Za-z0-9])", "[A-Za-z](?=[0-9])|[0-9](?=[A-Za-z])|[a-z](?=[A-Z])"
     total = lambda c: F.coalesce(F.sum(c.cast("double")), F.lit(0.0))
     n, changed, *counts = some.agg(total(F.regexp_count("r", F.lit(steps))), total(F.regexp_count("r", F.lit(changes))), *(total(_times(F.col("low"), F.lit(c))) for c in LETTERS)).first()
@@ -307,10 +307,12 @@ def discovery_steps(scored: DataFrame, p: str) -> dict[int, int]:
 
 
 def _judged(df: DataFrame, text: str) -> tuple[DataFrame, Column]:
-    """(df with __rest, the text without its base spans, and __scored; a test of a scored candidate)."""
-    rest = df.withColumn("__rest", _without_base(F.coalesce(F.col(text), F.lit(""))))
+    """(df with __base, the spans of the fixed forms, __rest, the text without them, and __scored; a test of a scored
+    candidate)."""
+    body = F.coalesce(F.col(text), F.lit(""))
+    rest = df.withColumn("__base", _base_spans(body)).withColumn("__rest", F.when(F.size("__base") > 0, _without_base(body)).otherwise(body))
     scored = rest.withColumn("__scored", _scored(_located(F.col("__rest"), CANDIDATE), corpus_shape(df, text)))
-    ps = scored.filter(F.size("__scored") > 0).select(F.explode("__scored").alias("r")).select("r.n", "r.p_words", "r.p_random")
+    ps = scored.select(F.explode("__scored").alias("r")).select("r.n", "r.p_words", "r.p_random")
     ps = kept(df.sparkSession, ps, "p-values")  # three numbers a candidate
     cuts = {p: discovery_steps(ps, p) for p in ("p_words", "p_random")}
     forget(ps)
@@ -336,7 +338,7 @@ def find_secrets(df: DataFrame, text: str = "text") -> DataFrame:
     inside, restored = shielded(df.drop("secrets"), text)
     judged, test = _judged(inside, text)
     added = _spans(F.filter("__scored", test), len(KINDS) - 1)
-    found = judged.withColumn("secrets", F.array_sort(F.concat(_base_spans(F.coalesce(F.col(text), F.lit(""))), added)))
+    found = judged.withColumn("secrets", F.array_sort(F.concat("__base", added)))
     return restored(found, "secrets")
 
 
@@ -351,7 +353,7 @@ def redact(df: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFra
     parts = F.zip_with(F.split("__rest", CANDIDATE, -1), known, lambda gap, m: F.concat(gap, F.coalesce(m, F.lit(""))))
     hidden = F.when(F.size("__scored") > 0, F.array_join(parts, "")).otherwise(F.col("__rest"))
     shown = F.translate(F.regexp_replace(hidden, f"{TWINS}+", mark.replace("\\", "\\\\").replace("$", "\\$")), "".join(_twin(c, 0xE100) for c in SIGNS), SIGNS)
-    spans = F.array_sort(F.concat(_base_spans(F.col(text)), _spans(F.filter("__scored", test), len(KINDS) - 1)))
+    spans = F.array_sort(F.concat("__base", _spans(F.filter("__scored", test), len(KINDS) - 1)))
 
     def by_span(spans: Column) -> Column:
         start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
