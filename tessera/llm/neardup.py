@@ -107,7 +107,8 @@ def signed(docs: DataFrame, key: str, text: str, n: int, bands: int, rows: int)
 def _sets(members: DataFrame, docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
     """members (with rep, the key and text hash of one of their documents, h1 and h2) with `grams`, the set, 8 bytes each."""
     texts = docs.select(docs[key].alias("__k"), F.xxhash64(docs[text]).alias("__th"), docs[text].alias("t"))
-    met = members.join(texts, F.col("rep.k").eqNullSafe(F.col("__k")) & (F.col("rep.th") == F.col("__th"))).drop("__k", "__th", "rep")
+    # one plan at every size: a broadcast of few members would only hide that texts are shuffled
+    met = members.hint("merge").join(texts, F.col("rep.k").eqNullSafe(F.col("__k")) & (F.col("rep.th") == F.col("__th"))).drop("__k", "__th", "rep")
     names = [c for c in met.columns if c not in ("h1", "h2", "t")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
