@@ -15,11 +15,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.types import Metric
-from tessera.operators.vectors import check_query, present_score, rank_score, search, search_batch
+from tessera.operators.vectors import BATCH_ROWS, check_query, present_score, rank_score, scores, search, search_batch
+from tessera.sources.shared import kept
 
 FULL_EFFORT = 400
 EF_SEARCH = 240  # the default; recall of 10 neighbours is above 0.9 on vectors with hardly any clusters
 SAMPLE = 100_000
+PIECE = 2048  # vectors, and queries, that are scored at once
+MOST_CELLS = 16_384  # centres are held by the driver and every executor: 100 MB at 768 dimensions
 
 
 def kmeans(vectors: DataFrame, clusters: int, seed: int = 0, iterations: int = 25, sample_limit: int = SAMPLE, vector: str = "vector") -> np.ndarray:
@@ -70,6 +73,17 @@ class CentroidRouter:
     def __init__(self, centres: np.ndarray):
         self.centres = np.asarray(centres, np.float64)
 
+    def to_json(self) -> str:
+        return json.dumps({"kind": "centroid", "dim": self.centres.shape[1], "centres": self.centres.tolist()})
+
+    @staticmethod
+    def from_json(text: str) -> CentroidRouter:
+        return CentroidRouter(np.array(json.loads(text)["centres"], np.float64))
+
+    def require_compatible(self, dim: int, cells: int) -> None:
+        if self.centres.shape != (cells, dim):
+            raise ValueError(f"the router is for {self.centres.shape[0]} cells of {self.centres.shape[1]} dimensions, not {cells} of {dim}")
+
     def predict(self, query, p: int) -> list[int]:
         d = ((self.centres - np.asarray(query, np.float64)) ** 2).sum(axis=1)
         return np.lexsort((np.arange(len(d)), d))[:p].tolist()
@@ -121,14 +135,22 @@ class RouterMLP:
         s = self.logits(query)
         return np.lexsort((np.arange(len(s)), -s))[:p].tolist()
 
-    def to_json(self) -> str:
-        return json.dumps({k: getattr(self, k).tolist() for k in ("w1", "b1", "w2", "b2")})
+    def to_json(self, medoids: dict[int, int] | None = None, baseline: float | None = None) -> str:
+        """The network, with the row nearest to each centre and the entry distance it was set at, if these are given."""
+        dim, cells = self.w1.shape[0], self.w2.shape[1]
+        kept = {"kind": "mlp", "dim": dim, "cells": cells, "medoids": sorted((medoids or {}).items()), "baseline": baseline}
+        return json.dumps(kept | {k: getattr(self, k).tolist() for k in ("w1", "b1", "w2", "b2")})
 
     @staticmethod
     def from_json(text: str) -> RouterMLP:
         d = json.loads(text)
         return RouterMLP(*(np.array(d[k], np.float64) for k in ("w1", "b1", "w2", "b2")))
 
+    def require_compatible(self, dim: int, cells: int) -> None:
+        have = (self.w1.shape[0], self.w2.shape[1])
+        if have != (dim, cells):
+            raise ValueError(f"the router is for {have[1]} cells of {have[0]} dimensions, not {cells} of {dim}")
+
 
 def softmax(s: np.ndarray) -> np.ndarray:
     e = np.exp(s - s.max(axis=-1, keepdims=True))
@@ -146,14 +168,26 @@ def training_set(assigned: DataFrame, n: int, jitter: float = 0.05, seed: int =
     return x, np.array([labels[i] for i in range(len(x))])
 
 
+def ordered_cells(centres: np.ndarray, router, top_p: int, query) -> list[int]:
+    """All cells, those that the router names first, the others by the distance of their centres."""
+    ranked = CentroidRouter(centres).predict(query, len(centres))
+    routed = router.predict(query, max(top_p, 1)) if router is not None else []
+    return routed + [c for c in ranked if c not in routed]
+
+
 class CellIndex:
     """Approximate index; its cells are a column, so a search reads the probed cells only where files are laid out by it."""
 
-    def __init__(self, spark: SparkSession, vectors: DataFrame, dim: int, metric: Metric = Metric.L2, cells: int | None = None, seed: int = 100, row: str = "id", vector: str = "vector"):
+    def __init__(self, spark: SparkSession, vectors: DataFrame, dim: int, metric: Metric = Metric.L2, cells: int | None = None, seed: int = 100, row: str = "id", vector: str = "vector", centres: np.ndarray | None = None):
+        """centres: given ones, instead of those that k-means finds. The rows are written once, by cell, so that a search
+        reads the files of the cells it probes."""
         self.spark, self.dim, self.metric, self.row, self.vector = spark, dim, Metric(metric), row, vector
         n = vectors.count()
-        self.centres = kmeans(vectors, cells or max(1, round(n**0.5 / 2)), seed, vector=vector) if n else np.zeros((0, dim))
-        self.frame = assign(vectors, self.centres, vector) if n else vectors.withColumn("cell", F.lit(0))
+        if centres is None:
+            centres = kmeans(vectors, min(cells or max(1, round(n**0.5 / 2)), MOST_CELLS), seed, vector=vector) if n else np.zeros((0, dim))
+        self.centres = np.asarray(centres, np.float64)
+        placed = assign(vectors, self.centres, vector) if n else vectors.withColumn("cell", F.lit(0))
+        self.frame = kept(spark, placed.repartitionByRange("cell", row).sortWithinPartitions("cell", row), "cells")
         self.size, self.router, self.router_top_p, self.baseline = n, None, 2, None
         self.last_probed = 0
 
@@ -161,12 +195,7 @@ class CellIndex:
         return min(len(self.centres), max(1, -(-len(self.centres) * (ef or EF_SEARCH) // FULL_EFFORT)))
 
     def _cells(self, query, ef: int) -> list[int]:
-        n = self.probes(ef)
-        ranked = CentroidRouter(self.centres).predict(query, len(self.centres))
-        if self.router is not None:
-            routed = self.router.predict(query, max(self.router_top_p, 1))
-            ranked = routed + [c for c in ranked if c not in routed]
-        return ranked[:n]
+        return ordered_cells(self.centres, self.router, self.router_top_p, query)[: self.probes(ef)]
 
     def search(self, query, k: int, ef: int = 0, allowed: DataFrame | None = None) -> DataFrame:
         """k nearest among the probed cells. With `allowed` (a frame of rows) more cells are probed until k are found."""
@@ -182,19 +211,52 @@ class CellIndex:
         return search(probed.drop("cell"), query, k, self.metric, self.row, self.vector)
 
     def search_batch(self, queries: DataFrame, k: int, ef: int = 0, query_row: str = "id", query_vector: str = "vector") -> DataFrame:
-        """(qid, row, score, rank): queries meet the vectors of their cells in one join on the cell."""
-        n, known = self.probes(max(ef, k)), self.spark.sparkContext.broadcast(self.centres)
+        """(qid, row, score, rank): each cell's vectors, dealt into pieces of bounded size, meet the queries that probe it.
+
+        A piece and a block of its queries are scored as one matrix product, and only the k best rows of every query are
+        handed on; nothing is emitted for each pair.
+        """
+        n, known, metric, row = self.probes(max(ef, k)), self.spark.sparkContext.broadcast(self.centres), self.metric, self.row
+        router, top_p = self.router, self.router_top_p
 
         @F.pandas_udf("array<int>")
         def near(v):
             import pandas as pd
 
-            return pd.Series([CentroidRouter(known.value).predict(x, n) for x in v])
+            c, out = known.value, []
+            for at in range(0, len(v), BATCH_ROWS):
+                q = np.stack(v.iloc[at : at + BATCH_ROWS].to_numpy()).astype(np.float64)
+                if router is not None:
+                    out += [np.array(ordered_cells(c, router, top_p, x)[:n], np.int32) for x in q]
+                    continue
+                d = (c**2).sum(axis=1)[None, :] - 2 * q @ c.T  # the query's own square is the same for all
+                out += list(np.argsort(d, axis=1, kind="stable")[:, :n].astype(np.int32))
+            return pd.Series(out)
+
+        probes = queries.select(F.col(query_row).alias("qid"), F.col(query_vector).alias("q"), F.explode(near(F.col(query_vector))).alias("cell"))
+        pieces = self.frame.groupBy("cell").count().select("cell", F.ceil(F.col("count") / PIECE).cast("int").alias("pieces"))
+        blocks = probes.groupBy("cell").count().select("cell", F.ceil(F.col("count") / PIECE).cast("int").alias("blocks"))
+        sizes = F.broadcast(pieces.join(blocks, "cell"))  # MOST_CELLS rows
+        spread = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+        dealt = lambda own, count: F.pmod(F.xxhash64(own), F.col(count)).cast("int")
+        v = self.frame.join(sizes, "cell").select("cell", dealt(row, "pieces").alias("i"), spread("blocks").alias("j"), F.col(row).cast("long").alias("id"), F.col(self.vector).cast("array<float>").alias("v"), F.lit(False).alias("asks"))
+        q = probes.join(sizes, "cell").select("cell", spread("pieces").alias("i"), dealt("qid", "blocks").alias("j"), F.col("qid").cast("long").alias("id"), F.col("q").cast("array<float>").alias("v"), F.lit(True).alias("asks"))
+
+        def best(group):
+            import pandas as pd
+
+            asks = group["asks"].to_numpy()
+            if asks.all() or not asks.any():
+                return pd.DataFrame({"qid": [], row: [], "__s": []}).astype({"qid": "int64", row: "int64", "__s": "float64"})
+            data, ids = np.stack(group["v"].to_numpy()).astype(np.float64), group["id"].to_numpy()
+            order = np.argsort(ids[~asks])
+            rows, vectors = ids[~asks][order], data[~asks][order]
+            s = scores(vectors, data[asks], metric, k)
+            return pd.DataFrame({"qid": np.repeat(ids[asks], len(s[0])), row: rows[s[0]].T.ravel(), "__s": s[1].T.ravel()})
 
-        probes = queries.select(F.col(query_row).alias("qid"), F.col(query_vector).alias("__q"), F.explode(near(F.col(query_vector))).alias("cell"))
-        scored = self.frame.join(probes, "cell").withColumn("__s", rank_score(self.vector, F.col("__q"), self.metric))
-        rank = F.row_number().over(Window.partitionBy("qid").orderBy("__s", self.row))
-        return scored.withColumn("rank", rank).filter(F.col("rank") <= k).select("qid", self.row, present_score(F.col("__s"), self.metric).alias("score"), "rank")
+        found = v.unionByName(q).groupBy("cell", "i", "j").applyInPandas(best, f"qid long, {row} long, __s double")
+        rank = F.row_number().over(Window.partitionBy("qid").orderBy("__s", row))
+        return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("qid", row, present_score(F.col("__s"), metric).alias("score"), "rank")
 
     def stats(self) -> dict:
         """Cells and the least, mean and most vectors in one."""
@@ -202,6 +264,7 @@ class CellIndex:
         return {"nodes": self.size, "cells": r[0], "least": r[1], "mean": r[2], "most": r[3]}
 
     def set_router(self, router, top_p: int = 2) -> None:
+        router.require_compatible(self.dim, len(self.centres))
         self.router, self.router_top_p = router, top_p
         self.rebaseline_router()
 

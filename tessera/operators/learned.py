@@ -53,14 +53,18 @@ class Rmi:
         p = (F.lit(self.stage1[0]) * key.cast("double") + F.lit(self.stage1[1])) * F.lit(self.count / max(self.size, 1))
         return F.when(p <= 0, 0).when(p >= self.count, self.count - 1).otherwise(F.floor(p)).cast("int")
 
+    PAGE = 1024  # positions that are read together
+
     def find(self, wanted: DataFrame, key: str = "key") -> DataFrame:
-        """(key, pos) of the wanted keys that are there: each looks only at its model's keys within the window."""
+        """(key, pos) of the wanted keys that are there: each is looked for in the pages that its model's window touches,
+        and nowhere else."""
         w = wanted.select(F.col(key).alias("key")).withColumn("model", self.route(F.col("key"))).join(self.models, "model")
         guess = clamped(F.col("slope") * F.col("key").cast("double") + F.col("intercept"), self.size)
-        w = w.withColumn("guess", guess)
-        k = self.keys.select("model", F.col("key").alias("k"), "pos")
-        # equal keys are routed alike, so the join is on the key; the window is what a sorted file would be read for
-        return w.join(k, (w["model"] == k["model"]) & (w["key"] == k["k"]) & F.col("pos").between(F.col("guess") - F.col("back"), F.col("guess") + F.col("fwd"))).select("key", "pos")
+        first, last = F.greatest(guess - F.col("back"), F.lit(0)), F.least(guess + F.col("fwd"), F.lit(max(self.size - 1, 0)))
+        w = w.select("key", first.alias("first"), last.alias("last"))
+        w = w.withColumn("page", F.explode(F.sequence((F.col("first") / self.PAGE).cast("long"), (F.col("last") / self.PAGE).cast("long"))))
+        pages = self.keys.select((F.col("pos") / self.PAGE).cast("long").alias("page"), "key", "pos")
+        return w.join(pages, ["page", "key"]).filter(F.col("pos").between(F.col("first"), F.col("last"))).select("key", "pos").distinct()
 
     def stats(self) -> DataFrame:
         """One row: size, models, max_error, mean_error, max_window, empty_models."""

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,67 +80,105 @@ def search_masked(vectors: DataFrame, query, k: int, mask: Column, metric: Metri
 def search_batch(vectors: DataFrame, queries: DataFrame, k: int, metric: Metric = Metric.L2, row: str = "id", vector: str = "vector", query_row: str = "id", query_vector: str = "vector", block: int = 1024) -> DataFrame:
     """(qid, <row>, score, rank) of the k best rows of every query.
 
-    A block of at most `block` queries is on all executors at a time, whatever the number of queries; each Arrow batch of
-    vectors is scored against it as one matrix product, and a task hands on its k best of every query.
+    Queries are dealt into blocks of about `block`, vectors into as many stretches as tasks; each stretch meets each block
+    once. The vectors of a stretch are scored against a block as matrix products, and only its k best of every query are
+    handed on. Neither queries nor vectors come to the driver, and no pair is emitted.
     """
-    out = None
-    spark = vectors.sparkSession
+    spark, metric = vectors.sparkSession, Metric(metric)
     if k <= 0:
         return spark.createDataFrame([], f"qid long, {row} long, score double, rank int")
-    held_ids: list[int] = []
-    held: list[np.ndarray] = []
-
-    def flush():
-        nonlocal out, held_ids, held
-        part = _search_block(vectors, np.array(held_ids), np.stack(held), k, metric, row, vector)
-        out = part if out is None else out.unionByName(part)
-        held_ids, held = [], []
-
-    for r in queries.select(query_row, query_vector).toLocalIterator():
-        held_ids.append(r[0])
-        held.append(np.asarray(r[1], np.float64))
-        if len(held) == block:
-            flush()
-    if held:
-        flush()
-    return out if out is not None else spark.createDataFrame([], f"qid long, {row} long, score double, rank int")
-
-
-def _scores(v: np.ndarray, q: np.ndarray, metric: Metric) -> np.ndarray:
-    """Ascending scores, rows by queries."""
-    if metric == Metric.L2:
-        # differences and not the expanded square, which cancels for near vectors
-        return np.stack([((v - x) ** 2).sum(axis=1) for x in q], axis=1)
-    dot = v @ q.T
-    if metric == Metric.INNER_PRODUCT:
-        return -dot
-    norms = np.linalg.norm(v, axis=1)[:, None] * np.linalg.norm(q, axis=1)[None, :]
-    return -np.divide(dot, norms, out=np.zeros_like(dot), where=norms > 0)
+    kind = "array<double>" if "array<double>" in (dict(queries.dtypes)[query_vector], dict(vectors.dtypes)[vector]) else "array<float>"
+    asked = queries.select(F.col(query_row).cast("long").alias("id"), F.col(query_vector).cast(kind).alias("v"))
+    blocks = max(1, -(-asked.count() // block))
+    stretches = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // blocks)
+    there = vectors.select(F.col(row).cast("long").alias("id"), F.col(vector).cast(kind).alias("v"))
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    v = there.select(dealt(stretches).alias("i"), spread(blocks).alias("j"), F.lit(1).alias("part"), "id", "v")
+    q = asked.select(spread(stretches).alias("i"), dealt(blocks).alias("j"), F.lit(0).alias("part"), "id", "v")
+    met = v.unionByName(q).repartition(stretches * blocks, "i", "j").sortWithinPartitions("i", "j", "part")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Runs of rows of one stretch and block: the queries first, then the vectors, batch by batch."""
+        at, ids, asks, rows, best = None, None, None, None, None
+
+        def done():
+            if at is not None and rows is not None and len(ids):
+                n = len(rows)
+                yield pa.RecordBatch.from_arrays([pa.array(np.tile(ids, n)), pa.array(rows.ravel()), pa.array(best.ravel())], ["qid", row, "__s"])
 
-
-def _search_block(vectors: DataFrame, qids: np.ndarray, q: np.ndarray, k: int, metric: Metric, row: str, vector: str) -> DataFrame:
-    metric = Metric(metric)
-    known = vectors.sparkSession.sparkContext.broadcast((qids, q))  # `block` vectors at most
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        qids, q = known.value
-        best_ids, best = np.zeros((0, len(q)), np.int64), np.zeros((0, len(q)))
         for batch in batches:
-            for at in range(0, len(batch), BATCH_ROWS):
-                part = batch.iloc[at : at + BATCH_ROWS]
-                v = np.stack(part["v"].to_numpy()).astype(np.float64)
-                ids = np.concatenate([best_ids, np.repeat(part["id"].to_numpy()[:, None], len(q), axis=1)])
-                s = np.concatenate([best, _scores(v, q, metric)])
-                order = np.lexsort((ids, s), axis=0)[:k]
-                best_ids, best = np.take_along_axis(ids, order, axis=0), np.take_along_axis(s, order, axis=0)
-        n = len(best)
-        yield pd.DataFrame({"qid": np.repeat(qids[None, :], n, axis=0).ravel(), row: best_ids.ravel(), "__s": best.ravel()})
-
-    found = vectors.select(F.col(row).alias("id"), F.col(vector).alias("v")).mapInPandas(run, f"qid long, {row} long, __s double")
+            keys = np.stack([batch.column(c).to_numpy() for c in range(3)], axis=1)
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), batch.num_rows]
+            for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+                if s == e:
+                    continue
+                i, j, part = keys[s].tolist()
+                if (i, j) != at:
+                    yield from done()
+                    at, ids, asks, rows, best = (i, j), np.zeros(0, np.int64), None, None, None
+                own, data = batch.column(3).to_numpy()[s:e], _matrix(batch.column(4).slice(s, e - s))
+                if part == 0:
+                    ids, asks = np.concatenate([ids, own]), data if asks is None else np.concatenate([asks, data])
+                elif len(ids):
+                    for a in range(0, e - s, BATCH_ROWS):
+                        order = np.argsort(own[a : a + BATCH_ROWS])
+                        some = own[a : a + BATCH_ROWS][order]
+                        place, score = scores(data[a : a + BATCH_ROWS][order], asks, metric, k)
+                        new = some[place]
+                        if rows is not None:
+                            new, score = np.concatenate([rows, new]), np.concatenate([best, score])
+                            order = np.lexsort((new, score), axis=0)[:k]
+                            new, score = np.take_along_axis(new, order, axis=0), np.take_along_axis(score, order, axis=0)
+                        rows, best = new, score
+        yield from done()
+
+    found = met.mapInArrow(run, f"qid long, {row} long, __s double")
     rank = F.row_number().over(Window.partitionBy("qid").orderBy("__s", row))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("qid", row, present_score(F.col("__s"), metric).alias("score"), "rank")
 
 
+def _matrix(column: pa.Array) -> np.ndarray:
+    values = column.flatten().to_numpy(zero_copy_only=False)
+    return values.reshape(len(column), -1).astype(np.float64)
+
+
+def scores(v: np.ndarray, q: np.ndarray, metric: Metric, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places in v, ascending scores) of the k best rows for every query, as columns; equal scores go to the earlier row.
+
+    Candidates come from a matrix product. Under L2 the expanded square cancels for near vectors, so every row whose
+    product could still belong to the k best, given how far rounding reaches, is scored again by its differences.
+    """
+    if metric == Metric.L2:
+        vv, qq = (v * v).sum(axis=1), (q * q).sum(axis=1)
+        rough = vv[:, None] - 2 * (v @ q.T)  # without the query's own square
+        return _exact(v, q, rough, (vv.max(initial=0) + qq) * 1e-12, k)
+    dot = v @ q.T
+    if metric == Metric.COSINE:
+        norms = np.linalg.norm(v, axis=1)[:, None] * np.linalg.norm(q, axis=1)[None, :]
+        dot = np.divide(dot, norms, out=np.zeros_like(dot), where=norms > 0)
+    order = np.argsort(-dot, axis=0, kind="stable")[:k]
+    return order, np.take_along_axis(-dot, order, axis=0)
+
+
+def _exact(v: np.ndarray, q: np.ndarray, rough: np.ndarray, slack: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    n, m = rough.shape
+    k = min(k, n)
+    limit = np.partition(rough, k - 1, axis=0)[k - 1] + 2 * slack if n else np.zeros(m)
+    near = rough <= limit
+    places, best = np.zeros((k, m), np.int64), np.zeros((k, m))
+    wide = int(near.sum(axis=0).max(initial=0))
+    order = np.argpartition(rough, min(wide, n) - 1, axis=0)[:wide] if wide < n else np.broadcast_to(np.arange(n)[:, None], (n, m))
+    order = np.sort(order, axis=0)
+    step = max(1, (1 << 22) // max(1, len(order) * v.shape[1]))  # queries at a time: 32 MB of differences
+    for a in range(0, m, step):
+        some = order[:, a : a + step]
+        d = ((v[some] - q[None, a : a + step]) ** 2).sum(axis=2)
+        first = np.argsort(d, axis=0, kind="stable")[:k]
+        places[:, a : a + step], best[:, a : a + step] = np.take_along_axis(some, first, axis=0), np.take_along_axis(d, first, axis=0)
+    return places, best
+
+
 def ground_truth(base: DataFrame, queries: DataFrame, k: int, metric: Metric = Metric.L2) -> DataFrame:
     """(id, vector) of each query with the ids of its k nearest, best first."""
     found = search_batch(base, queries, k, metric)

@@ -20,6 +20,11 @@ def _fs(path: str, spark: SparkSession | None = None):
     return place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), place, jvm
 
 
+def _raw(fs, jvm):
+    """Without the checksum files of a local file system, which an edited file would no longer fit."""
+    return jvm.org.apache.hadoop.fs.FileSystem.getLocal(fs.getConf()).getRawFileSystem() if fs.getUri().getScheme() == "file" else fs
+
+
 def exists(path: str, spark: SparkSession | None = None) -> bool:
     fs, place, _ = _fs(path, spark)
     return fs.exists(place)
@@ -42,7 +47,7 @@ def read_bytes(path: str, most: int | None = None, spark: SparkSession | None =
     if not fs.exists(place):
         raise FileNotFoundError(path)
     n = fs.getFileStatus(place).getLen()
-    f = fs.open(place)
+    f = _raw(fs, jvm).open(place)
     try:
         return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(f, n if most is None else min(n, most)))
     finally:
@@ -75,8 +80,8 @@ def move(old: str, new: str, spark: SparkSession | None = None) -> None:
 def atomic_write(path: str, text: str, spark: SparkSession | None = None) -> None:
     """The whole text or nothing: written beside the path, flushed to disk, then renamed."""
     beside = f"{path}.{uuid.uuid4().hex}.tmp"
-    fs, place, _ = _fs(beside, spark)
-    f = fs.create(place, True)
+    fs, place, jvm = _fs(beside, spark)
+    f = _raw(fs, jvm).create(place, True)
     try:
         f.write(bytearray(text, "utf-8"))
         f.hsync()

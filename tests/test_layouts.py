@@ -39,10 +39,10 @@ def test_shape(spark, values):
     there = sorted((v, i) for i, v in enumerate(values) if v is not None)
     rows = [i for _, i in there]
     distinct = len({v for v, _ in there})
-    assert C.measure_shape(df, "v", "r") == C.ColumnShape(len(there), distinct, len(there) == distinct, rows == sorted(rows))
+    assert C.measure_shape(df, "v", "r") == C.ColumnShape(len(there), distinct, len(there) == distinct, rows == sorted(rows), *((there[0][0], there[-1][0]) if there else (0, 0)))
 
 
-def test_choice_and_catalog(tmp_path):
+def test_choice_and_catalog(spark, tmp_path):
     shape = C.ColumnShape(5000, 5000, True, False)
     cost = {"btree": 50.0, "rmi": 40.0}
     measure = lambda p: replace(p, ns_per_lookup=cost[p.kind.value], index_bytes=p.rmi_models)
@@ -86,7 +86,9 @@ def test_bitmaps(spark):
 
 @pytest.mark.parametrize("shape", ["uniform", "lognormal", "sequential_gaps", "clustered"])
 def test_learned_positions(spark, shape):
-    keys = G.key_array(shape, 800, 3, 5)
+    rows = G.synthetic_keys(spark, shape, 800, 3, 5).orderBy("value").collect()
+    keys = np.array([r["key"] for r in rows])
+    assert (np.diff(keys) > 0).all() and [r["value"] for r in rows] == list(range(800)) and (shape != "sequential_gaps" or np.diff(keys).max() <= 7)
     df = spark.createDataFrame([(int(k),) for k in keys], "key long")
     rmi = learned.fit(df, 16)
     assert rmi.validate().count() == 0
@@ -151,6 +153,26 @@ def test_search_against_numpy(spark, metric):
     assert batch.count() == 24 and np.allclose([r["score"] for r in batch.filter("qid = 3").orderBy("rank").collect()], score)
 
 
+def test_scores_of_near_vectors_are_exact():
+    """Far from the origin the expanded square cancels; the differences decide."""
+    rng = np.random.default_rng(3)
+    v = 1e6 + np.round(rng.normal(size=(500, 8)), 2)
+    v[100:110] = v[7]  # ties
+    q = np.vstack([v[:20] + 1e-3, v[7], np.zeros(8)])
+    places, best = V.scores(v, q, Metric.L2, 25)
+    d = ((v[:, None, :] - q[None, :, :]) ** 2).sum(axis=2)
+    want = np.stack([np.lexsort((np.arange(500), d[:, j]))[:25] for j in range(len(q))], axis=1)
+    assert (places == want).all() and np.array_equal(best, np.take_along_axis(d, want, axis=0))
+
+
+def test_batches_larger_than_a_block(spark):
+    base, _ = G.random_vectors(spark, 700, 6, 1, 4, 5)
+    data = np.array([r["vector"] for r in base.orderBy("id").collect()], np.float64)
+    d = ((data[:, None, :] - data[None, :, :]) ** 2).sum(axis=2)
+    got = V.search_batch(base, base, 4, block=100).orderBy("qid", "rank").collect()
+    assert [r["id"] for r in got] == [int(i) for j in range(700) for i in np.lexsort((np.arange(700), d[:, j]))[:4]]
+
+
 def test_flat_index(spark):
     f = V.FlatIndex(spark, 2, Metric.COSINE)
     assert f.add([3, 4]) == 0 and list(f.add_batch([[1, 0], [0, 0]])) == [1, 2] and len(f) == 3
@@ -182,8 +204,11 @@ def test_cells_and_router(spark):
     x, y = ann.training_set(index.frame, 200)
     mlp = ann.RouterMLP.fit(x, y, len(index.centres), hidden=32, epochs=150, rate=0.01, batch=32)
     assert np.mean([mlp.predict(v, 1)[0] == c for v, c in zip(x, y, strict=True)]) > 0.8
-    assert np.allclose(ann.RouterMLP.from_json(mlp.to_json()).logits(x), mlp.logits(x))
+    assert np.allclose(ann.RouterMLP.from_json(mlp.to_json({0: 5}, 1.5)).logits(x), mlp.logits(x))
+    with pytest.raises(ValueError):
+        mlp.require_compatible(9, len(index.centres))
     index.set_router(mlp)
+    assert V.recall_at_k(index.search_batch(queries, 5, ann.FULL_EFFORT), truth, 5) == 1.0
     assert abs(index.router_health(100) - 1) < 0.5 and V.recall_at_k(truth, truth, 5) == 1
     m = index.repair_router_medoids().collect()
     assert len(m) == len(index.centres) == index.stats()["cells"] and all(r["distance"] >= 0 for r in m)

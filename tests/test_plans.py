@@ -20,7 +20,7 @@ def plan(df):
     ("pred_eq_string", "EqualTo(p_brand,Brand#12)"),
     ("pred_le_double", "LessThanOrEqual(o_totalprice,50000.0)"),
     ("pred_prefix", "StringStartsWith(p_type,S)"),
-    ("pred_contains", "StringContains(p_name,1)"),
+    ("pred_contains", "StringContains(p_name,l r)"),
     ("select_any_or", "Or(Or("),
     ("flagship", "LessThan(p_size,20)"),
 ])
