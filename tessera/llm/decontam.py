@@ -1,8 +1,9 @@
 """Benchmark decontamination by spaced seeds.
 
 A document leaks an item if some stretch of WINDOW consecutive words of the one, laid on as many of the other, agrees
-in NEED places or more (in every word, for an item of fewer words than NEED; items of fewer than the heaviest mask's
-weight can't be told from chance and match nothing). The other places may hold any words.
+in NEED places or more (in every word, for an item of fewer words than NEED). The other places may hold any words.
+Items of fewer words than a mask looks at would be met by chance everywhere: such an item is leaked by a document one of
+whose lines is just its words, which is an exact look-up.
 
 Each fixed mask looks at some positions of a stretch and ignores the rest. MASKS are chosen so that, wherever
 WINDOW - NEED words are substituted in a window, one of them fits between: no leak is lost (tested over all cases).
@@ -17,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.arrow import Words, mix, slices, small_batches
@@ -106,6 +107,20 @@ def _bit_table(spark: SparkSession, seeds: DataFrame) -> tuple[np.ndarray, int]:
     return table, size
 
 
+def _words_of(text) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit("[\\p{L}\\p{N}]+"), F.lit(0))
+
+
+def _short_leaks(docs: DataFrame, items: DataFrame) -> DataFrame | None:
+    """(doc, item, matched) of items of fewer than WEIGHT words, one at least; None if there are no such items."""
+    short = items.select(F.col("k").alias("item"), _words_of(F.col("t")).alias("w")).filter(F.size("w").between(1, WEIGHT - 1)).distinct()
+    if not short.limit(1).count():
+        return None
+    lines = docs.select(F.col("k").alias("doc"), F.explode(F.split("t", "\n")).alias("line")).select("doc", _words_of(F.col("line")).alias("w"))
+    lines = lines.filter(F.size("w").between(1, WEIGHT - 1)).distinct()
+    return lines.join(short, "w").select("doc", "item", F.size("w").cast("long").alias("matched"))
+
+
 def leaks(spark: SparkSession, docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
     """key, item_key and `matched` (agreeing words of the best window, WINDOW at most) of every leak, once a pair.
 
@@ -146,6 +161,8 @@ def leaks(spark: SparkSession, docs: DataFrame, items: DataFrame, key: str = "do
     kind = thin.schema["k"].dataType.simpleString()
     found = thin.mapInArrow(hits, f"doc {kind}, seed long, doc_words binary").join(seeds, "seed").select("doc", "item", "need", "doc_words", "item_words")
     sure = found.mapInArrow(verify, f"doc {kind}, item long, matched long")
+    lines = _short_leaks(thin, items.select(items[item_key].cast("long").alias("k"), items[item_text].alias("t")))
+    sure = sure if lines is None else sure.unionByName(lines)
     return sure.groupBy(F.col("doc").alias(key), F.col("item").alias(item_key)).agg(F.max("matched").alias("matched"))
 
 
@@ -164,8 +181,15 @@ doc_words AS (
 ), agree AS (
   SELECT doc_id, item_id, n, count(*) OVER (PARTITION BY doc_id, item_id, p - q ORDER BY q RANGE BETWEEN CURRENT ROW AND {AROUND} FOLLOWING) AS c
   FROM doc_words JOIN item_words USING (w)
+), line_words AS (
+  SELECT doc_id, regexp_extract_all(lower(l), '[\\p{{L}}\\p{{N}}]+') AS w FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS l FROM docs)
+), short_items AS (
+  SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+') AS w FROM benchmark
 ), leaks AS (
-  SELECT doc_id, item_id, max(c) AS matched FROM agree WHERE c >= least({NEED}, n) AND n >= {WEIGHT} GROUP BY doc_id, item_id
+  SELECT doc_id, item_id, max(c) AS matched FROM (
+    SELECT doc_id, item_id, c FROM agree WHERE c >= least({NEED}, n) AND n >= {WEIGHT}
+    UNION ALL SELECT doc_id, item_id, len(s.w) FROM line_words l JOIN short_items s ON l.w = s.w WHERE len(s.w) BETWEEN 1 AND {WEIGHT - 1}
+  ) GROUP BY doc_id, item_id
 )"""
 
 OP7_SQL = f"WITH docs AS (SELECT doc_id, text FROM documents), {LEAKS_SQL} SELECT * FROM leaks"

@@ -27,6 +27,8 @@ def brute(docs, items):
         for i, s in items:
             b = cut(s)
             if len(b) < D.WEIGHT:
+                if b and any(cut(line) == b for line in (t or "").split("\n")):
+                    out[k, i] = len(b)
                 continue
             for d in range(-len(b), len(a)):
                 hit = [q for q in range(len(b)) if 0 <= q + d < len(a) and a[q + d] == b[q]]
@@ -47,6 +49,7 @@ def test_substitutions_and_edges(spark):
             w[draw.randrange(len(w))] = word()
         docs.append((10 + k // 2, " ".join([*(word() for _ in range(draw.randint(0, 20))), *w, *(word() for _ in range(draw.randint(0, 20)))])))
     docs.append((None, items[0][1].upper()))
+    docs += [(90, f"some text\n- {items[8][1].upper()}!\nmore"), (91, f"before {items[8][1]}"), (92, items[9][1]), (92, items[9][1]), (93, f"{items[9][1]} \n{items[9][1]}")]
     df = spark.createDataFrame([(k, t, 1) for k, t in docs], "doc_id long, text string, item_id int")
     it = spark.createDataFrame([(k, t, 1) for k, t in items], "item_id long, text string, doc_id int")
     assert sorted((tuple(r) for r in D.leaks(spark, df, it).collect()), key=repr) == brute(docs, items)
