@@ -2,10 +2,11 @@
 
 Documents with equal sets of word n-grams are one node (told apart by 128 bits of hash). Bands of a node's MinHash
 signature are shuffled by their hash; nodes that share a band are tied to the least of them, so a bucket of any size
-gives as many ties as it has members. Components of these ties that fit into one block of about BLOCK nodes are
-verified as one group. Larger ones may be chains of pairs that are only half alike, so there only nodes that share a
-band are compared: a bucket that fits into a block is one group, in which a pair counts if the band is the first one
-it shares; buckets of more nodes are joined where they overlap and dealt into blocks, each pair of blocks one group.
+gives as many ties as it has members. Components of these ties of up to DIRECT blocks of about BLOCK nodes are dealt
+into blocks, and each pair of blocks is verified as one group. Larger ones may be chains of pairs that are only half
+alike, so there only nodes that share a band are compared: a bucket that fits into a block is one group, in which a pair
+counts if the band is the first one it shares; buckets of more nodes are joined where they overlap and dealt into blocks
+in the same way.
 
 A group is of bounded size: its n-gram sets (hashes of 64 bits) are intersected as columns of a 0/1 matrix, and for
 every node only the number of its links and its least partner come out. No list of pairs is ever made, and no bucket,
@@ -34,6 +35,7 @@ THRESHOLD = 0.8
 RECALL = 0.9995
 ROWS = 8
 BLOCK = 256
+DIRECT = 16  # components of so many blocks are compared as a whole; a node then goes to 16 groups at most
 WEIGHT = 1 << 14  # a set of more n-grams than this counts as several nodes of a block
 COLUMNS = 4096
 
@@ -224,13 +226,13 @@ def _groups_of(spark: SparkSession, nodes: DataFrame, sets_of) -> tuple[DataFram
         none = F.lit(None).cast("array<long>")
         return rows.select(F.lit(-1).alias("band"), F.col(label).alias("g"), "p.i", "p.j", "block", "node", "copies", "grams", none.alias("bands"), F.lit(-1).cast("long").alias("large"))
 
-    groups = dealt(sets.filter("blocks = 1"), "label")
-    large = found.filter("blocks > 1")
+    groups = dealt(sets.filter(F.col("blocks") <= DIRECT), "label")
+    large = found.filter(F.col("blocks") > DIRECT)
     n = large.count()
     if not n:
         return groups, [found, sets]
-    # components of more than a block: their buckets
-    inside = sets.filter("blocks > 1").select("node", "w", F.posexplode("bands").alias("pos", "band"))
+    # larger components: their buckets
+    inside = sets.filter(F.col("blocks") > DIRECT).select("node", "w", F.posexplode("bands").alias("pos", "band"))
     mark = F.xxhash64("node").cast("decimal(38,0)")
     shapes = inside.groupBy("band").agg(F.first("pos").alias("pos"), F.count("*").alias("c"), F.sum("w").alias("w"), F.sum(mark).alias("m"), F.sum(F.xxhash64("node", F.lit(1)).cast("decimal(38,0)")).alias("m2"))
     shapes = kept(spark, shapes.filter("c > 1"), "buckets")
@@ -242,7 +244,7 @@ def _groups_of(spark: SparkSession, nodes: DataFrame, sets_of) -> tuple[DataFram
     # of buckets with the same members the one of the first band is enough
     few = shapes.filter(F.col("w") <= BLOCK).groupBy("c", "m", "m2").agg(F.min(F.struct("pos", "band")).alias("b")).select("b.band", "c")
     narrow = looked_up(inside.drop("w"), few, "band", "c", n * 64).select("node", F.col("pos").alias("band"), F.col("band").alias("g"))
-    own = sets.drop("blocks", "label").join(joined.drop("blocks"), "node", "left")
+    own = sets.filter(F.col("blocks") > DIRECT).drop("blocks", "label").join(joined.drop("blocks"), "node", "left")
     none = F.lit(0).cast("int")
     narrow = narrow.join(own, "node").select("band", "g", none.alias("i"), none.alias("j"), none.alias("block"), "node", "copies", "grams", "bands", F.coalesce("large", F.lit(-1)).alias("large"))
     return groups.unionByName(narrow), [found, sets, shapes, wide, joined]

@@ -38,6 +38,7 @@ def brute(rows):
 @pytest.mark.parametrize("block", [2, 9, 256])
 def test_groups_and_edges(spark, monkeypatch, block):
     monkeypatch.setattr(N, "BLOCK", block)
+    monkeypatch.setattr(N, "DIRECT", 1 if block == 9 else 2)
     draw = random.Random(3)
     base = [draw.choice("abcdefghijklmnop") + str(draw.randint(0, 99)) for _ in range(150)]
     rows = []
@@ -60,6 +61,7 @@ def brute_links(rows):
 def test_chains_that_are_half_alike_cost_no_square(spark, monkeypatch):
     """Documents that each share three quarters with the next: one component of ties, hardly any links."""
     monkeypatch.setattr(N, "BLOCK", 16)
+    monkeypatch.setattr(N, "DIRECT", 2)
     words = [f"w{i}" for i in range(4 * 1500 + 40)]
     rows = [(i, " ".join(words[4 * i : 4 * i + 36])) for i in range(1500)] + [(2000 + i, " ".join(words[4 * i : 4 * i + 37])) for i in range(0, 1500, 100)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
@@ -73,8 +75,10 @@ def test_chains_that_are_half_alike_cost_no_square(spark, monkeypatch):
     assert max(sizes) <= 2 * 16 * 2 and sum(s * s for s in sizes) < 42 * 16 * len(rows) and sum(sizes) > len(rows)
 
 
-def test_a_large_group_of_copies_and_one_of_near_copies(spark, monkeypatch):
+@pytest.mark.parametrize("direct", [1, 16])
+def test_a_large_group_of_copies_and_one_of_near_copies(spark, monkeypatch, direct):
     monkeypatch.setattr(N, "BLOCK", 16)
+    monkeypatch.setattr(N, "DIRECT", direct)
     draw = random.Random(5)
     base = [f"b{i}" for i in range(120)]
     rows = [(i, " ".join(base)) for i in range(300)] + [(None, "  "), (None, None), (7, "")] * 20
