@@ -312,7 +312,8 @@ def _judged(df: DataFrame, text: str) -> tuple[DataFrame, Column]:
     body = F.coalesce(F.col(text), F.lit(""))
     rest = df.withColumn("__base", _base_spans(body)).withColumn("__rest", F.when(F.size("__base") > 0, _without_base(body)).otherwise(body))
     scored = rest.withColumn("__scored", _scored(_located(F.col("__rest"), CANDIDATE), corpus_shape(df, text)))
-    ps = scored.select(F.explode("__scored").alias("r")).select("r.n", "r.p_words", "r.p_random")
+    # the outer form: for the other one the optimiser adds a filter that scores every text once more
+    ps = scored.select(F.explode_outer("__scored").alias("r")).select("r.n", "r.p_words", "r.p_random").filter("n is not null")
     ps = kept(df.sparkSession, ps, "p-values")  # three numbers a candidate
     cuts = {p: discovery_steps(ps, p) for p in ("p_words", "p_random")}
     forget(ps)
