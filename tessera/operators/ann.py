@@ -201,7 +201,7 @@ class CellIndex:
         """k nearest among the probed cells. With `allowed` (a frame of rows) more cells are probed until k are found."""
         check_query(query, self.dim)
         rows = self.frame if allowed is None else self.frame.join(allowed.select(F.col(allowed.columns[0]).alias(self.row)).distinct(), self.row, "left_semi")
-        ranked, n = self._cells(query, FULL_EFFORT), self.probes(max(ef, k))
+        ranked, n = self._cells(query, FULL_EFFORT), self.probes(max(ef or EF_SEARCH, k))
         if allowed is not None and n < len(ranked):
             held = dict(rows.groupBy("cell").count().collect())  # a number a cell
             while n < len(ranked) and sum(held.get(c, 0) for c in ranked[:n]) < k:
@@ -216,7 +216,7 @@ class CellIndex:
         A piece and a block of its queries are scored as one matrix product, and only the k best rows of every query are
         handed on; nothing is emitted for each pair.
         """
-        n, known, metric, row = self.probes(max(ef, k)), self.spark.sparkContext.broadcast(self.centres), self.metric, self.row
+        n, known, metric, row = self.probes(max(ef or EF_SEARCH, k)), self.spark.sparkContext.broadcast(self.centres), self.metric, self.row
         router, top_p = self.router, self.router_top_p
 
         @F.pandas_udf("array<int>")

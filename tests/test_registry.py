@@ -47,5 +47,14 @@ def test_recall_at_default_effort(spark):
     assert vectors.recall_at_k(found, vectors.search_batch(e, queries, 10), 10) >= 0.9
 
 
+def test_default_effort_is_what_a_search_without_effort_probes(spark):
+    e = registry._embeddings(spark, SF01).select("id", "vector")
+    index = ann.CellIndex(spark, e, 64, cells=11)
+    query = e.filter("id = 42").first()["vector"]
+    assert index.search(query, 10).count() == 10 and index.last_probed == index.probes() == index.probes(ann.EF_SEARCH) == 7
+    assert index.search(query, 10, 40).count() == 10 and index.last_probed == index.probes(40) == 2
+    assert sorted(map(tuple, index.search_batch(e.limit(9), 3).collect())) == sorted(map(tuple, index.search_batch(e.limit(9), 3, ann.EF_SEARCH).collect()))
+
+
 def test_wal_fold_matters(spark):
     assert registry.queries()["wal_fold"](spark, SF01).count() > 0
