@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import decontam, neardup, pieces, quality, secrets
 from tessera.llm.frames import shielded
+from tessera.llm.sieve import sieved
 from tessera.sources.shared import delete, kept, shared_folder
 
 #: The last stage can't be said in SQL; tests/llm/test_pipeline.py holds every stage against a plain version.
@@ -37,12 +38,11 @@ def unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the least id stays, once if it is repeated."""
     keyed = docs.withColumn(_KEY, _key())
     found = neardup.near_duplicates(spark, keyed.select(_KEY, "text"), key=_KEY)
-    gone = kept(spark, found.filter(F.col(_KEY) != F.col("class_id")).select(_KEY).distinct(), "gone")
-    repeated = kept(spark, found.filter(F.col(_KEY) == F.col("class_id")).groupBy(_KEY).count().filter("count > 1").select(_KEY), "repeated")
-    left = keyed.join(gone, _KEY, "left_anti")
-    once = left.join(repeated, _KEY, "left_anti")
-    again = left.join(repeated, _KEY, "left_semi").dropDuplicates([_KEY])  # combines before the shuffle
-    return once.unionByName(again).select(docs.columns)
+    touched = found.groupBy(_KEY).agg(F.max(F.col(_KEY) != F.col("class_id")).alias("gone"), F.count("*").alias("n"))
+    touched = kept(spark, touched.filter("gone OR n > 1"), "touched")
+    maybe, untouched = sieved(keyed, F.xxhash64(_KEY), touched.select(F.xxhash64(_KEY)), touched.count())
+    once = maybe.dropDuplicates([_KEY])  # combines before the shuffle
+    return untouched.unionByName(once.join(touched.filter("gone").select(_KEY), _KEY, "left_anti")).select(docs.columns)
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +50,9 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     keyed = docs.withColumn(_KEY, _key())
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     leaked = decontam.leaks(spark, keyed.select(_KEY, "text"), items.select("item_id", "text"), key=_KEY)
-    return keyed.join(kept(spark, leaked.select(_KEY).distinct(), "leaked"), _KEY, "left_anti").select(docs.columns)
+    leaked = kept(spark, leaked.select(_KEY).distinct(), "leaked")
+    maybe, others = sieved(keyed, F.xxhash64(_KEY), leaked.select(F.xxhash64(_KEY)), leaked.count())
+    return others.unionByName(maybe.join(leaked, _KEY, "left_anti")).select(docs.columns)
 
 
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

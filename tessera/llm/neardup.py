@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.arrow import Words, mix, release, slices, small_batches, windows
 from tessera.llm.components import connected_components, looked_up
+from tessera.llm.sieve import sieved
 from tessera.sources.shared import forget, kept
 
 N = 5
@@ -106,9 +107,11 @@ def signed(docs: DataFrame, key: str, text: str, n: int, bands: int, rows: int)
     return thin.mapInArrow(run, f"k {thin.schema['k'].dataType.simpleString()}, th long, h1 long, h2 long, bands array<long>, size long")
 
 
-def _sets(members: DataFrame, docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
-    """members (with rep, the key and text hash of one of their documents, h1 and h2) with `grams`, the set, 8 bytes each."""
+def _sets(members: DataFrame, count: int, docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
+    """The `count` members (with rep, the key and text hash of one of their documents, h1 and h2) with `grams`, the set,
+    8 bytes each. Only texts that a bit table of the members may know are shuffled."""
     texts = docs.select(docs[key].alias("__k"), F.xxhash64(docs[text]).alias("__th"), docs[text].alias("t"))
+    texts, _ = sieved(texts, F.xxhash64("__k", "__th"), members.select(F.xxhash64("rep.k", "rep.th")), count)
     # one plan at every size: a broadcast of few members would only hide that texts are shuffled
     met = members.hint("merge").join(texts, F.col("rep.k").eqNullSafe(F.col("__k")) & (F.col("rep.th") == F.col("__th"))).drop("__k", "__th", "rep")
     names = [c for c in met.columns if c not in ("h1", "h2", "t")]
@@ -212,9 +215,12 @@ def _groups_of(spark: SparkSession, nodes: DataFrame, sets_of) -> tuple[DataFram
     weighed = nodes.select("node", "w")
     buckets = nodes.select("node", F.explode("bands").alias("band"))
     found = connected_components(spark, _ties(buckets, buckets.count()))
-    found = kept(spark, _blocks(found.join(weighed, "node"), "label", found.count()), "candidates")
-    sets = kept(spark, sets_of(found.join(nodes.drop("w", "set_id"), "node")), "sets")
-    if sets.count() > found.count():  # rows that repeat a key and a text
+    count = found.count()
+    found = kept(spark, _blocks(found.join(weighed, "node"), "label", count), "candidates")
+    members = kept(spark, found.join(nodes.drop("w", "set_id"), "node"), "members")
+    sets = kept(spark, sets_of(members, count), "sets")
+    forget(members)
+    if sets.count() > count:  # rows that repeat a key and a text
         repeated, sets = sets, kept(spark, sets.dropDuplicates(["node"]), "sets")
         forget(repeated)
 
@@ -267,7 +273,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, key: str = "doc_id", t
     nodes = signs.filter("h1 is not null").groupBy("h1", "h2")
     nodes = nodes.agg(F.min("k").alias("set_id"), F.min(F.struct("k", "th")).alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.max(F.ceil(F.col("size") / WEIGHT)).alias("w"))
     nodes = kept(spark, nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    groups, tables = _groups_of(spark, nodes, lambda members: _sets(members, docs, key, text, n))
+    groups, tables = _groups_of(spark, nodes, lambda members, count: _sets(members, count, docs, key, text, n))
     groups = groups.repartition(*GROUP).sortWithinPartitions(*GROUP)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
